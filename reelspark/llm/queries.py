@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontamination, langid, mixing, neardup, sharding
-from reelspark.llm.common import table
+from reelspark.llm import decontamination, langid, linededup, mixing, neardup, secrets, sharding, tokens, topk, warc
+from reelspark.llm.common import table, written
+
+
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(topk.as_integers(table(spark, sf_dir, "embeddings"), 64), "integers")
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.maintained(spark, sf_dir)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = linededup.deduplicated_lines(table(spark, sf_dir, "documents"), min_lines=3)
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["first"], r["end"])), ",")
+    return got.select("doc_id", "n_lines", "n_removed", F.coalesce(runs, F.lit("")).alias("runs"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -28,6 +47,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = langid.predict(docs, langid.learn(docs), ["doc_id"])
@@ -35,7 +59,42 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontamination, op6_near_dedup, op7_sharding, op8_mixing, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_top_k, op2_token_counts, op3_line_dedup, op4_decontamination, op5_secret_scan,
+        op6_near_dedup, op7_sharding, op8_mixing, op9_warc, op10_language_id,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_top_k": """
+        WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        v AS (SELECT vec_id, list(floor(64 * x) ORDER BY i) AS e FROM u GROUP BY vec_id HAVING count(x) = count(*) AND bool_and(isfinite(x))),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_line_dedup": """
+        WITH d AS (SELECT DISTINCT doc_id, md5(text) AS tk, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, tk, generate_subscripts(ls, 1) - 1 AS pos, md5(unnest(ls)) AS h FROM d),
+        w AS (SELECT doc_id, tk, pos, h || lead(h, 1) OVER o || lead(h, 2) OVER o AS k FROM l WINDOW o AS (PARTITION BY doc_id, tk ORDER BY pos)),
+        f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(tk) OVER o AS ft, first_value(pos) OVER o AS fp
+              FROM w WHERE k IS NOT NULL WINDOW o AS (PARTITION BY k ORDER BY doc_id NULLS LAST, tk, pos)),
+        g AS (SELECT doc_id, tk, unnest(range(CASE WHEN doc_id = fd AND tk = ft THEN greatest(pos, fp + 3) ELSE pos END, pos + 3)) AS pos
+              FROM f WHERE NOT (doc_id = fd AND tk = ft AND pos = fp)),
+        gone AS (SELECT DISTINCT doc_id, tk, pos FROM g),
+        i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tk ORDER BY pos) AS island FROM gone),
+        runs AS (SELECT doc_id, tk, min(pos) AS a, max(pos) + 1 AS b FROM i GROUP BY doc_id, tk, island),
+        r AS (SELECT doc_id, tk, string_agg(a || '-' || b, ',' ORDER BY a) AS runs, sum(b - a)::BIGINT AS n FROM runs GROUP BY doc_id, tk),
+        kept AS (SELECT doc_id, tk, string_agg(line, chr(10) ORDER BY pos) AS text FROM
+                 (SELECT doc_id, tk, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM d) ANTI JOIN gone USING (doc_id, tk, pos) GROUP BY doc_id, tk)
+        SELECT x.doc_id, CASE WHEN x.text IS NULL THEN 0 ELSE len(string_split(x.text, chr(10))) END::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_removed,
+               coalesce(r.runs, '') AS runs, CASE WHEN x.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5
+        FROM documents x LEFT JOIN r ON x.doc_id = r.doc_id AND md5(x.text) = r.tk LEFT JOIN kept ON x.doc_id = kept.doc_id AND md5(x.text) = kept.tk""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+        g AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM g""",
+}
