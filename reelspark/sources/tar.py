@@ -73,9 +73,11 @@ def fetch_payload(index: DataFrame) -> DataFrame:
                     if uri != open_uri:
                         f = _opened(uri)
                         open_uri = uri
+                    if offset + size > f.size():
+                        out.append(None)
+                        continue
                     f.seek(int(offset))
-                    data = f.read(int(size))
-                    out.append(data if len(data) == size else None)
+                    out.append(f.read(int(size)))
                 except OSError:
                     open_uri = None
                     out.append(None)
