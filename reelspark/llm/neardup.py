@@ -7,9 +7,9 @@ concentration of independent trials. BANDS bands of ROWS bins: a pair at 0.8 sha
 band with probability (1 - 0.8**5)**40 = 1.3e-7, and two texts at 0.05 share one with 1.3e-5.
 
 Documents of equal shingle sets are one class from the start, stood for by their least doc_id. A
-bucket's members are checked against its least member; what that leaves in different
-components is checked against the bucket's other components. So a bucket's pairs inside a component are
-never made, and no link between components is missed.
+bucket's members are checked against its least member. What that leaves outside the bucket's main component is checked
+against all of that component and the other leftovers, block by block: a task compares two blocks of sets and gives back links only.
+So a bucket's pairs inside a component are never made, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 48) - 1)
 WORDS_KEPT = 500_000
+BROADCAST_IDS, LEFT, RIGHT = 500_000, 256, 2_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -112,32 +113,72 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, bands array<long>")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those whose full shingle sets meet 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, items): the full sets of the listed documents, written."""
+    few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "items"])
 
-    found = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", F.col("text").cast("binary")).mapInArrow(sets, "id long, items binary")
-    found = written(found, "sets")
-    one = pairs.join(found.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    both = one.join(found.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    own = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary"))
+    return written(own.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id", "items"]), "sets")
+
+
+def meeting(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of the sets that meet 100 * intersection >= percent * union, by counting how often a right set's items occur in each left set."""
+    sizes = np.array([len(x) for x in left])
+    every, owner = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = []
+    for j, y in enumerate(right):
+        first, last = np.searchsorted(every, y, "left"), np.searchsorted(every, y, "right")
+        n = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(left))
+        out += [(int(i), j) for i in np.flatnonzero(100 * same >= percent * (sizes + len(y) - same))]
+    return out
+
+
+def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """tasks (task, side, id): the linked pairs (a, b) between sides 0 and 1 of each task. A task has at most about LEFT and RIGHT rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sides = None, ([], [])
+
+        def found() -> pa.RecordBatch:
+            pairs = []
+            if sides[0] and sides[1]:
+                names = [[i for i, _ in side] for side in sides]
+                items = [[np.frombuffer(x, np.uint64) for _, x in side] for side in sides]
+                pairs = [(names[0][i], names[1][j]) for i, j in meeting(*items, percent) if names[0][i] != names[1][j]]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                same = int((large[at] == small).sum())
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            for t, side, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != task:
+                    yield found()
+                    task, sides = t, ([], [])
+                sides[side].append((i, x))
+        yield found()
+
+    rows = tasks.join(sets, "id").select("task", "side", "id", "items")
+    return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, "a long, b long")
+
+
+def in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Tasks (task, side, id) that bring every left id of a group (g, id) together with every right id of it, in blocks by hash."""
+    n = left.groupBy("g").agg(F.ceil(F.count("*") / LEFT).alias("l")).join(right.groupBy("g").agg(F.ceil(F.count("*") / RIGHT).alias("r")), "g")
+    block = F.xxhash64("id")
+
+    def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        rows = side.join(n, "g").withColumn("own", F.pmod(block, F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        task = F.xxhash64("g", *(("own", "other") if number == 0 else ("other", "own")))
+        return rows.select(task.alias("task"), F.lit(number).alias("side"), "id")
 
-    return both.mapInArrow(check, "a long, b long, ok boolean").where("ok").select("a", "b")
+    return dealt(left, 0, "l", "r").unionByName(dealt(right, 1, "r", "l"))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -174,26 +215,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     real = own.where("sig is not null and doc_id is not null")
     # a class's rows agree in n and bands
     classes = written(real.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("sig", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands")), "classes")
-    rows = classes.select("rep", "n", F.explode("bands").alias("h"))
-    hubs = rows.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    shared = written(rows.join(hubs, "h").select("h", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-
-    def near(a: str, b: str):
-        return (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
-
-    tried = written(shared.where(F.col("hub") < F.col("rep")).where(near("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    edges = written(linked(docs, tried, k, percent), "edges")
-    first = components(edges, "stars")
-    # buckets that hold several components: all others against the bucket's largest one and each other
-    r = shared.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    rows = classes.select("rep", F.explode("bands").alias("h"))
+    hubs = rows.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    shared = written(rows.join(hubs, "h"), "buckets")
+    sets = shingle_sets(docs, shared.select(F.col("rep").alias("id")).distinct(), k)
+    # first each bucket's members against its least one
+    pairs = shared.where("hub < rep").select(F.col("hub").alias("g"), F.col("rep").alias("id")).distinct()
+    edges = written(linked(in_blocks(pairs.select("g", F.col("g").alias("id")).distinct(), pairs), sets, percent), "edges")
+    stars = components(edges, "stars")
+    # then the members of other components than a bucket's main one (the largest) against all of the main one and each other
+    r = shared.join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("comp"))
     r = written(r, "members")
-    most = r.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = written(r.join(most.select("h", F.col("x.comp").alias("main")), "h"), "mixed")
-    o = mixed.where("comp <> main").select("h", F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    p = o.join(mixed, "h").where("comp <> ca and (comp = main or ra < rep)").where(near("na", "n"))
-    p = p.select(F.least("ra", "rep").alias("a"), F.greatest("ra", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = linked(docs, written(p, "pairs"), k, percent)
-    roots = components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more), "components")
+    sizes = r.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    main = r.select("h", "comp").distinct().join(sizes, "comp").groupBy("h").agg(F.max(F.struct("size", (-F.col("comp")).alias("less"))).alias("x"), F.count("*").alias("comps")).where("comps > 1")
+    main = main.select("h", (-F.col("x").getField("less")).alias("g"))
+    others = written(r.join(main, "h").where("comp <> g").select("g", F.col("rep").alias("id")).distinct(), "others")
+    members = r.select(F.col("comp").alias("g"), F.col("rep").alias("id")).distinct().join(others.select("g").distinct(), "g", "left_semi")
+    more = linked(in_blocks(others, members.unionByName(others)), sets, percent)
+    roots = components(stars.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more), "components")
     ends = classes.select("sig", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))
     out = own.join(ends, "sig", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
