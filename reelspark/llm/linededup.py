@@ -3,10 +3,10 @@
 The suffixes are those of the documents' line sequences. Ranks by one line are places in the order of line digests;
 a doubling step ranks the pair (rank here, rank 2^j lines on) by a range-partitioned
 sort of the distinct pairs, where the increasing row id is the new rank. Lines that occur once are
-unique suffixes from the start and leave, as do suffixes whose run ends. At `min_lines`
+unique suffixes from the start and leave, as do suffixes whose run ends. At each width
 the suffixes of equal rank are the intervals of the suffix array with a common prefix of that many
-lines; overlapping intervals of neighbours are a maximal repeated run. The earliest suffix of an interval stays,
-and the lines of the others go.
+lines; overlapping intervals of neighbours are a maximal repeated run. Runs of `min_lines` lines count, and shorter ones of
+`min_words` words. The earliest suffix of an interval stays, and the lines of the others go.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import written
+from reelspark.llm.common import n_words, written
 
 DOC = ["doc_id", "tkey"]
 
@@ -30,34 +30,38 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(order, keys).drop(*keys).withColumnRenamed("new", "rank")
 
 
-def repeated_windows(docs: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, tkey, pos, rank) of the suffixes that share their first min_lines lines with another; equal ranks share them."""
+def repeated_windows(docs: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
+    """For the widths 1, 2, 4 .. min_lines: (doc_id, tkey, pos, words, rank) of the suffixes that share their first `width` lines with
+    another. Equal ranks share them; words are those of the lines (unless the last step overlaps, where they aren't asked for)."""
     lines = _keyed(docs.select("doc_id", "text")).where("text is not null").select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = _ranked(lines.select(*DOC, "pos", F.md5(F.col("line").cast("binary")).alias("line")), ["line"])
+    rows = _ranked(lines.select(*DOC, "pos", n_words(F.col("line")).alias("words"), F.md5(F.col("line").cast("binary")).alias("line")), ["line"])
     rows = written(rows.distinct(), "lines")  # rows that repeat a document count once
-    width = 1
+    width, out = 1, [(1, rows)]
     while width < min_lines:
         step = min(width, min_lines - width)  # the last step may overlap: equal ranks at 0 and `step` cover width + step lines
         # a run of width + step lines has rows at each of its first `step` places, so the row ahead is `step` rows on
-        ahead = F.lead(F.struct("pos", "rank"), step).over(W.partitionBy(*DOC).orderBy("pos"))
+        ahead = F.lead(F.struct("pos", "rank", "words"), step).over(W.partitionBy(*DOC).orderBy("pos"))
         pairs = rows.withColumn("ahead", ahead).where(F.col("ahead.pos") == F.col("pos") + step)
-        pairs = pairs.select(*DOC, "pos", F.col("rank").alias("r1"), F.col("ahead.rank").alias("r2"))
+        pairs = pairs.select(*DOC, "pos", (F.col("words") + F.col("ahead.words")).alias("words"), F.col("rank").alias("r1"), F.col("ahead.rank").alias("r2"))
         rows = written(_ranked(pairs, ["r1", "r2"]), "doubled")
         width += step
-    return rows
+        out.append((width, rows))
+    return out
 
 
-def removed_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def removed_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
     """(doc_id, tkey, runs): disjoint [first, end) line runs of each document to delete."""
-    rows = repeated_windows(docs, min_lines)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "pos")
-    first = rows.groupBy("rank").agg(F.min(place).alias("first"))
-    f = F.col("first")
-    own = F.col("doc_id").eqNullSafe(f["doc_id"]) & (F.col("tkey") == f["tkey"])
-    later = rows.join(first, "rank").where(~(own & (F.col("pos") == f["pos"])))
-    # a later copy that overlaps the first one in its own document loses only what lies beyond it
-    start = F.when(own, F.greatest(F.col("pos"), f["pos"] + min_lines)).otherwise(F.col("pos"))
-    spans = later.select(*DOC, start.alias("a"), (F.col("pos") + min_lines).alias("b")).where("a < b")
+    place, spans = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "pos"), None
+    for width, rows in repeated_windows(docs, min_lines):
+        rows = rows if width >= min_lines else rows.where(F.col("words") >= min_words)
+        first = rows.groupBy("rank").agg(F.min(place).alias("first"))
+        f = F.col("first")
+        own = F.col("doc_id").eqNullSafe(f["doc_id"]) & (F.col("tkey") == f["tkey"])
+        later = rows.join(first, "rank").where(~(own & (F.col("pos") == f["pos"])))
+        # a later copy that overlaps the first one in its own document loses only what lies beyond it
+        start = F.when(own, F.greatest(F.col("pos"), f["pos"] + width)).otherwise(F.col("pos"))
+        found = later.select(*DOC, start.alias("a"), (F.col("pos") + width).alias("b")).where("a < b")
+        spans = found if spans is None else spans.unionByName(found)
     w = W.partitionBy(*DOC).orderBy("a", "b")
     spans = spans.withColumn("reach", F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)))
     spans = spans.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(w))
@@ -73,13 +77,13 @@ def _kept_lines(lines: Column, runs: Column) -> Column:
     return F.flatten(gaps)
 
 
-def deduplicated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
     """doc_id, text without the deleted runs, n_lines, n_removed, runs (array of first, end) for every row of docs.
 
-    Documents stand in the order of doc_id, nulls last, then of the text's digest. Runs of min_lines equal lines or more are deleted wherever they occur again; shorter
-    repeats stay. A null text has no lines and stays null; an empty text is one empty line. Rows that repeat a doc_id and text are one document and get
+    Documents stand in the order of doc_id, nulls last, then of the text's digest. Runs of min_lines equal lines or more, and of 1, 2, 4 .. lines with min_words
+    words or more, are deleted wherever they occur again; shorter repeats stay. A null text has no lines and stays null; an empty text is one empty line. Rows that repeat a doc_id and text are one document and get
     equal answers. An empty table gives no rows."""
-    runs = removed_runs(docs, min_lines).alias("r")
+    runs = removed_runs(docs, min_lines, min_words).alias("r")
     d = _keyed(docs.select("doc_id", "text")).alias("d")
     got = d.join(runs, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tkey") == F.col("r.tkey")), "left").select("d.doc_id", "d.text", "r.runs")
     lines = F.split("text", "\n")

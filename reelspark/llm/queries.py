@@ -21,7 +21,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = linededup.deduplicated_lines(table(spark, sf_dir, "documents"), min_lines=3)
+    got = linededup.deduplicated_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50)
     runs = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["first"], r["end"])), ",")
     return got.select("doc_id", "n_lines", "n_removed", F.coalesce(runs, F.lit("")).alias("runs"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -76,11 +76,14 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_line_dedup": """
         WITH d AS (SELECT DISTINCT doc_id, md5(text) AS tk, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-        l AS (SELECT doc_id, tk, generate_subscripts(ls, 1) - 1 AS pos, md5(unnest(ls)) AS h FROM d),
-        w AS (SELECT doc_id, tk, pos, h || lead(h, 1) OVER o || lead(h, 2) OVER o AS k FROM l WINDOW o AS (PARTITION BY doc_id, tk ORDER BY pos)),
+        e AS (SELECT doc_id, tk, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM d),
+        l AS (SELECT doc_id, tk, pos, md5(line) AS h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM e),
+        w AS (SELECT doc_id, tk, pos, 1 AS w, h AS k, n FROM l
+              UNION ALL SELECT doc_id, tk, pos, 2, h || lead(h, 1) OVER o, n + lead(n, 1) OVER o FROM l WINDOW o AS (PARTITION BY doc_id, tk ORDER BY pos)
+              UNION ALL SELECT doc_id, tk, pos, 3, h || lead(h, 1) OVER o || lead(h, 2) OVER o, 50 FROM l WINDOW o AS (PARTITION BY doc_id, tk ORDER BY pos)),
         f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(tk) OVER o AS ft, first_value(pos) OVER o AS fp
-              FROM w WHERE k IS NOT NULL WINDOW o AS (PARTITION BY k ORDER BY doc_id NULLS LAST, tk, pos)),
-        g AS (SELECT doc_id, tk, unnest(range(CASE WHEN doc_id = fd AND tk = ft THEN greatest(pos, fp + 3) ELSE pos END, pos + 3)) AS pos
+              FROM w WHERE k IS NOT NULL AND n >= 50 WINDOW o AS (PARTITION BY k ORDER BY doc_id NULLS LAST, tk, pos)),
+        g AS (SELECT doc_id, tk, unnest(range(CASE WHEN doc_id = fd AND tk = ft THEN greatest(pos, fp + w) ELSE pos END, pos + w)) AS pos
               FROM f WHERE NOT (doc_id = fd AND tk = ft AND pos = fp)),
         gone AS (SELECT DISTINCT doc_id, tk, pos FROM g),
         i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tk ORDER BY pos) AS island FROM gone),

@@ -102,27 +102,30 @@ def test_rollup_commits(spark, odd_docs, no_docs):
 # lines
 
 
-def brute_lines(docs, least):
+def brute_lines(docs, least, words):
     """[(doc_id, text) -> deleted places] by looking at every window."""
     keys = sorted({(d.doc_id is None, d.doc_id, hashlib.md5(d.text.encode()).hexdigest(), d.text) for d in docs if d.text is not None}, key=lambda k: (k[0], k[1] or 0, k[2]))
     first, gone = {}, defaultdict(set)
     for k in keys:
         lines = k[3].split("\n")
-        for i in range(len(lines) - least + 1):
-            w = tuple(lines[i : i + least])
-            if (f := first.setdefault(w, (k, i))) != (k, i):
-                start = max(i, f[1] + least) if f[0] == k else i
-                gone[k[1], k[3]].update(range(start, i + least))
+        for width in [x for x in (1, 2, 4) if x < least] + [least]:
+            for i in range(len(lines) - width + 1):
+                w = tuple(lines[i : i + width])
+                if width < least and len(re.findall(r"[^\x20\x09-\x0D]+", "\n".join(w))) < words:
+                    continue
+                if (f := first.setdefault(w, (k, i))) != (k, i):
+                    start = max(i, f[1] + width) if f[0] == k else i
+                    gone[k[1], k[3]].update(range(start, i + width))
     return gone
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_line_dedup(spark, odd_docs, no_docs, least):
+@pytest.mark.parametrize(("least", "words"), [(1, 50), (2, 50), (3, 3), (3, 2), (5, 4)])
+def test_line_dedup(spark, odd_docs, no_docs, least, words):
     rnd = random.Random(least)
-    base = [(100 + i, "\n".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 30))), "en", "s") for i in range(40)]
+    base = [(100 + i, "\n".join(rnd.choice(("a", "b", "c d", "e f g", "")) for _ in range(rnd.randint(0, 30))), "en", "s") for i in range(40)]
     base += [(200, "\n".join(["same"] * 20), "en", "s"), (200, "other\ntext", "en", "s"), (201, "\n\n\n", "en", "s"), (201, "\n\n\n", "en", "s")]
     docs = odd_docs.unionByName(spark.createDataFrame(base, "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
-    gone, got = brute_lines(docs.collect(), least), rows(linededup.deduplicated_lines(docs, least).withColumn("n", queries.F.lit(0)))
+    gone, got = brute_lines(docs.collect(), least, words), rows(linededup.deduplicated_lines(docs, least, words).withColumn("n", queries.F.lit(0)))
     texts = docs.collect()
     assert len(got) == len(texts)
     want = Counter()
