@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import tarfile
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from reelspark.operators.ranks import assign_shards
 from reelspark.sources.readers import list_shards
 
 SUFFIXES = (".frames.npy", ".frames.npz", ".metadata.json")
+TASK_BYTES = 64_000_000
 MEMBER = "shard string, key string, fmt string, offset long, size long, seq long"
 
 
@@ -83,7 +85,9 @@ def fetch_payload(index: DataFrame) -> DataFrame:
                     out.append(None)
             yield part.assign(payload=out)
 
-    placed = index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    total = index.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first().b
+    # tasks by the bytes that they will read, not by the index's own size
+    placed = index.repartitionByRange(max(1, math.ceil(total / TASK_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
     schema = ", ".join(f"`{n}` {t}" for n, t in index.dtypes) + ", payload binary"
     return placed.mapInPandas(run, schema)
 
