@@ -130,8 +130,8 @@ def auprc_trapezoid(df: DataFrame, by: By = (), weight: str | None = None, score
 
 
 def one_vs_rest(df: DataFrame, probs: str = "probs", y: str = "y") -> DataFrame:
-    """A row per row and class: class, score, hit (1 for the true class)."""
-    return df.select("*", F.posexplode(probs).alias("class", "score")).withColumn("hit", (F.col(y) == F.col("class")).cast("int"))
+    """A row per row and class: class, score, hit (1 for the true class); columns of these names are replaced."""
+    return df.drop("class", "score", "hit").select("*", F.posexplode(probs).alias("class", "score")).withColumn("hit", (F.col(y) == F.col("class")).cast("int"))
 
 
 def macro(metric: Callable[..., DataFrame], df: DataFrame, name: str, by: By = (), weight: str | None = None, probs: str = "probs", y: str = "y", need_all: bool = True) -> DataFrame:

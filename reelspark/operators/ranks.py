@@ -7,42 +7,10 @@ offset that its own increasing row ids need.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="reelspark-")
-        spark.sparkContext.setCheckpointDir(root)
-    root = f"{root.rstrip('/')}/ranks-{spark.sparkContext.applicationId}"
-    if root not in _leaving:
-        _leaving.add(root)
-        atexit.register(_drop, spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
-_leaving: set[str] = set()
-
-
-def _drop(spark: SparkSession, root: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM has ended first: the folder stays for the cluster's own cleaning
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from reelspark.sources.work import written
 
 
 def _ordered(df: DataFrame, order: list[Column | str]) -> DataFrame:

@@ -15,6 +15,7 @@ from reelspark.functions import columns as fn
 from reelspark.operators import joins, labels, metrics, ranks, reports, retrieval, splits, vectors
 from reelspark.plans import frames
 from reelspark.sources import readers, writers
+from reelspark.sources.work import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -533,7 +534,7 @@ def numbered(s, d):
     UNION ALL SELECT 'mae', (SELECT round(avg(abs(y - x)), 6) FROM n), round(quantile_cont(mae, 0.025), 6), round(quantile_cont(mae, 0.975), 6) FROM a""")
 def _(s, d):
     data = numbered(s, d)
-    w = ranks.written(metrics.draws(data, 200, 42), "draws")
+    w = written(metrics.draws(data, 200, 42), "draws")
     acc = metrics.bootstrap_ci(data, lambda df, by, wt: metrics.classification_metrics(df, "macro", by, wt).select(*by, "accuracy"), ["accuracy"], weights=w)
     mae = metrics.bootstrap_ci(data, lambda df, by, wt: metrics.regression_metrics(df, by, wt, pred="x"), ["mae"], weights=w)
     return acc.unionByName(mae).select("metric", r6("value"), r6("lower"), r6("upper"))
@@ -544,7 +545,7 @@ def _(s, d):
     SELECT 'auc' AS metric, (SELECT round(sum(won) FILTER (y = 1) / ((count(*) FILTER (y = 1)) * (count(*) FILTER (y = 0))), 6) FROM pt) AS value, round(quantile_cont(auc, 0.025), 6) AS lower, round(quantile_cont(auc, 0.975), 6) AS upper FROM a""")
 def _(s, d):
     data = numbered(s, d)
-    w = ranks.written(metrics.draws(data, 200, 42), "draws")
+    w = written(metrics.draws(data, 200, 42), "draws")
     return metrics.bootstrap_ci(data, lambda df, by, wt: metrics.roc_auc(df, by, wt, score="x"), ["auc"], weights=w).select("metric", r6("value"), r6("lower"), r6("upper"))
 
 

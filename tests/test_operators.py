@@ -109,6 +109,11 @@ def test_edges_of_metrics(spark):
     assert one(metrics.calibrate_threshold(none))["threshold"] == 0.5
 
 
+def test_macro_replaces_own_columns(spark):
+    df = spark.createDataFrame([(0, [0.9, 0.1], 7.0), (1, [0.2, 0.8], 7.0)], "y int, probs array<double>, score double")
+    assert one(metrics.macro(metrics.roc_auc, df, "auc"))["auc"] == 1.0
+
+
 def test_poisson_weights(spark):
     w = metrics.poisson_draws(spark.range(1, 3001).withColumnRenamed("id", "row"), 20).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") ** 2).alias("q")).first()
     assert abs(w.s / 60_000 - 1) < 0.02 and abs(w.q / 60_000 - 2) < 0.06
