@@ -1,59 +1,16 @@
-"""What the training-data operators share: the shared work folder, written tables, text helpers."""
+"""What the training-data operators share: written tables, and text helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words, and the pattern of a word.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reelspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder; it is deleted when the application ends."""
-    root = f"{shared_dir(spark).rstrip('/')}/reelspark-{spark.sparkContext.applicationId}"
-    _delete_at_exit(spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
+from reelspark.sources.work import shared_dir, work_dir, written
 
-_leaving: set[str] = set()
+__all__ = ["WORD", "n_words", "shared_dir", "table", "uniform", "work_dir", "written"]
 
-
-def _delete_at_exit(spark: SparkSession, root: str) -> None:
-    if root in _leaving:
-        return
-    _leaving.add(root)
-
-    def drop() -> None:
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the JVM has ended first: the folder stays for the cluster's own cleaning
-            pass
-
-    atexit.register(drop)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
-    path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space that separates words, and the pattern of a word.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
