@@ -17,6 +17,7 @@ from reelspark.llm.common import n_words, uniform, written
 
 BINS = 1 << 16
 EDGE = 1e6
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -85,12 +86,15 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     upto = upto - F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("tokens"))).over(own), F.lit(0))
     taken = bins.withColumn("last_bin", F.when(F.col("bin").isNotNull() & (upto - F.col("tokens") / 2 <= need), F.col("bin")))
     last = taken.groupBy("source").agg(F.coalesce(F.max("last_bin"), F.lit(-1)).alias("last_bin"))
-    return plan.join(last, plan["source"].eqNullSafe(last["source"]), "left").select(plan["*"], F.coalesce("last_bin", F.lit(-1)).alias("last_bin"))
+    done = plan.join(last, plan["source"].eqNullSafe(last["source"]), "left")
+    return written(done.select(plan["*"], F.coalesce("last_bin", F.lit(-1)).alias("last_bin")), "plan")
 
 
 def with_rate(sized: DataFrame, plan: DataFrame, most: float) -> DataFrame:
-    """Adds the plan's columns and rate to rows with source and size; a hot source is split by the adaptive skew join."""
+    """Adds the plan's columns and rate to rows with source and size. The plan, a row a source, is broadcast up to BROADCAST_SOURCES
+    rows, so that a hot source's rows stay where they are; beyond, the adaptive join splits hot sources."""
     p = plan.withColumnRenamed("source", "__source")
+    p = F.broadcast(p) if plan.count() <= BROADCAST_SOURCES else p
     rate = F.when(F.col("size") > 0, _rate(F.col("lam"), F.col("unit") * F.col("size"), most)).otherwise(F.lit(1.0))
     return sized.join(p, sized["source"].eqNullSafe(p["__source"]), "left").drop("__source").withColumn("rate", rate)
 
