@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import written
+from reelspark.llm.common import small_batches, written
 
 PART_BYTES, PASS_PARTS = 1_000_000, 4
 #: Bytes that end a word become a blank, A-Z become a-z, the rest stay: bytes above 0x7F belong to words.
@@ -170,6 +170,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, item_text: str) -> DataFrame:
     """docs (with __text binary) plus __n words, __spans and __items, one pass over docs for each PASS_PARTS parts of the benchmark."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.withColumn("__n", F.lit(0).cast("long")).withColumn("__spans", F.array().cast("array<array<long>>")).withColumn("__items", F.array().cast("array<string>"))
     at = docs.columns.index("__text")

@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import written
+from reelspark.llm.common import small_batches, written
 
 BINS, ROWS = 200, 5
 BANDS = BINS // ROWS
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 48) - 1)
-WORDS_KEPT = 500_000
-BROADCAST_IDS, LEFT, RIGHT = 500_000, 256, 2_000
+WORDS_KEPT = 100_000
+BROADCAST_IDS, LEFT, RIGHT = 500_000, 256, 1_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,11 +110,13 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 rows.append(bands(sketch(x)) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "bands"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, items): the full sets of the listed documents, written."""
+    small_batches(docs.sparkSession)
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +172,16 @@ def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
     """Tasks (task, side, id) that bring every left id of a group (g, id) together with every right id of it, in blocks by hash."""
-    n = left.groupBy("g").agg(F.ceil(F.count("*") / LEFT).alias("l")).join(right.groupBy("g").agg(F.ceil(F.count("*") / RIGHT).alias("r")), "g")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select("g", one.alias("l"), none.alias("r")).unionByName(right.select("g", none.alias("l"), one.alias("r")))
+    n = both.groupBy("g").agg(F.ceil(F.sum("l") / LEFT).alias("l"), F.ceil(F.sum("r") / RIGHT).alias("r")).where("l > 1 or r > 1")
+    n = written(n, "blocks")  # groups of several blocks: at most a row for each LEFT rows
+    n = F.broadcast(n) if n.count() <= BROADCAST_IDS else n
     block = F.xxhash64("id")
 
     def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
-        rows = side.join(n, "g").withColumn("own", F.pmod(block, F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        rows = side.join(n, "g", "left").withColumn("own", F.pmod(block, F.greatest(one, F.coalesce(own, one))))
+        rows = rows.withColumn("other", F.explode(F.sequence(none, F.greatest(one, F.coalesce(other, one)) - 1)))
         task = F.xxhash64("g", *(("own", "other") if number == 0 else ("other", "own")))
         return rows.select(task.alias("task"), F.lit(number).alias("side"), "id")
 
@@ -190,19 +197,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         moved = near.join(least, "u")
         moved = moved.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")) if large else moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return moved.where("a < b").distinct()
+        moved = moved.where("a < b")
+        return moved if large else moved.distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every id hangs on one root, and roots on none."""
+        ends = e.select(F.col("b").alias("v"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("a").alias("v"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        seen = ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        return not seen.where("hangs > 1 or (hangs > 0 and holds > 0)").limit(1).count()
 
     e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), label)
-    before = state(e)
-    while before[0]:
+    while not settled(e):
         e = written(star(star(e, True), False), label)
-        now = state(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
@@ -217,6 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(real.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("sig", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands")), "classes")
     rows = classes.select("rep", F.explode("bands").alias("h"))
     hubs = rows.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    hubs = written(hubs, "hubs")  # read back, so that the join can split the rows of a hot bucket
     shared = written(rows.join(hubs, "h"), "buckets")
     sets = shingle_sets(docs, shared.select(F.col("rep").alias("id")).distinct(), k)
     # first each bucket's members against its least one
@@ -228,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     r = written(r, "members")
     sizes = r.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
     main = r.select("h", "comp").distinct().join(sizes, "comp").groupBy("h").agg(F.max(F.struct("size", (-F.col("comp")).alias("less"))).alias("x"), F.count("*").alias("comps")).where("comps > 1")
-    main = main.select("h", (-F.col("x").getField("less")).alias("g"))
+    main = written(main.select("h", (-F.col("x").getField("less")).alias("g")), "main")
     others = written(r.join(main, "h").where("comp <> g").select("g", F.col("rep").alias("id")).distinct(), "others")
     members = r.select(F.col("comp").alias("g"), F.col("rep").alias("id")).distinct().join(others.select("g").distinct(), "g", "left_semi")
     more = linked(in_blocks(others, members.unionByName(others)), sets, percent)

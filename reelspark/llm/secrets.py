@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import written
+from reelspark.llm.common import small_batches, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -106,6 +106,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, tokens array<struct<start: long, end: long, stratum: string, p: double>>"
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
