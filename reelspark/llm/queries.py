@@ -94,6 +94,26 @@ ORACLES: dict[str, str] = {
         SELECT x.doc_id, CASE WHEN x.text IS NULL THEN 0 ELSE len(string_split(x.text, chr(10))) END::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_removed,
                coalesce(r.runs, '') AS runs, CASE WHEN x.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5
         FROM documents x LEFT JOIN r ON x.doc_id = r.doc_id AND md5(x.text) = r.tk LEFT JOIN kept ON x.doc_id = kept.doc_id AND md5(x.text) = kept.tk""",
+    "op4_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+        w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS m, array_to_string(ws[i:i + 9], ' ') AS k FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM b WHERE len(ws) > 0)),
+        g AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS k FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM w))),
+        h AS (SELECT doc_id, item_id, i, g.m FROM g JOIN w ON g.k = w.k AND g.m = w.m),
+        n AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM h) GROUP BY doc_id),
+        f AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op6_near_dedup": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM d JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
