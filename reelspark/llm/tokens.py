@@ -12,10 +12,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import n_words, table, work_dir, written
+from reelspark.llm.common import n_words, small_batches, table, work_dir, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that this vocabulary was made with.
@@ -50,6 +51,7 @@ def bpe_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, lang, copy_key, bpe, words) of each document: one read of the texts."""
+    small_batches(docs.sparkSession)
     t = F.col("text")
     return docs.select("doc_id", "source", "lang", F.md5(t.cast("binary")).alias("copy_key"), bpe_count(t, vocabulary).alias("bpe"), n_words(t).alias("words"))
 
@@ -68,6 +70,8 @@ class Rollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._store = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._store.mkdirs(self._path(f"{folder}/batches"))
+        self._files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(folder).toUri(), spark._jsc.hadoopConfiguration())
+        self._no_options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def published(self, batch: str) -> bool:
         return self._store.exists(self._path(f"{self.folder}/batches/{batch}"))
@@ -79,9 +83,13 @@ class Rollup:
         staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
         sums.write.parquet(staged)
-        # a rename onto a folder that another writer published meanwhile would move below it: publish the one file name that must be new
-        if self.published(batch) or not self._store.rename(self._path(staged), self._path(f"{self.folder}/batches/{batch}")):
-            self._store.delete(self._path(staged), True)
+        source, target = self._path(staged), self._path(f"{self.folder}/batches/{batch}")
+        try:
+            self._files.rename(source, target, self._no_options)  # fails if another writer has published the batch meanwhile
+        except Py4JJavaError:
+            if not self.published(batch):
+                raise
+            self._store.delete(source, True)
             return False
         return True
 
@@ -98,6 +106,7 @@ class Rollup:
 def later_copies(counts: DataFrame) -> DataFrame:
     """Documents whose text an earlier doc_id has too."""
     first = counts.where("copy_key is not null").groupBy("copy_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("copy_key", "first")
+    first = written(first, "first")  # read back, so that the join can split a hot text
     return counts.join(first, "copy_key").where(F.col("doc_id") > F.col("first"))
 
 
