@@ -54,7 +54,7 @@ def removed_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> Da
     place, spans = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "pos"), None
     for width, rows in repeated_windows(docs, min_lines):
         rows = rows if width >= min_lines else rows.where(F.col("words") >= min_words)
-        first = rows.groupBy("rank").agg(F.min(place).alias("first"))
+        first = written(rows.groupBy("rank").agg(F.min(place).alias("first")), "first")  # read back, so that the join can split a hot rank
         f = F.col("first")
         own = F.col("doc_id").eqNullSafe(f["doc_id"]) & (F.col("tkey") == f["tkey"])
         later = rows.join(first, "rank").where(~(own & (F.col("pos") == f["pos"])))
