@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import math
 import re
 import struct
 import uuid
@@ -22,10 +23,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import work_dir, written
+from reelspark.llm.common import small_batches, work_dir, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-PACKAGE_BYTES, READ_BYTES = 256_000_000, 8_000_000
+PACKAGE_BYTES, READ_BYTES, TASK_BYTES = 256_000_000, 8_000_000, 16_000_000
 MIN_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
@@ -37,6 +38,7 @@ def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     again = p.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = written(again, "again")  # read back, so that the join can split a hot payload
     return p.join(again, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
@@ -107,6 +109,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
         cols = list(zip(*made, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
 
+    small_batches(records.sparkSession)
     return written(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, MANIFEST), "manifest")
 
 
@@ -191,7 +194,9 @@ def read_records(packages: DataFrame) -> DataFrame:
                 yield emit([parse(gzip.decompress(raw[a - first : a - first + n])) for _, a, n in todo[i:j]])
                 i = j
 
-    placed = index(packages).repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    total = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
+    # tasks by the bytes that they will read, not by the index's own size
+    placed = index(packages).repartitionByRange(max(1, math.ceil(total / TASK_BYTES)), "path", "offset").sortWithinPartitions("path", "offset")
     return placed.mapInArrow(run, RECORD)
 
 
