@@ -22,7 +22,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Cuts benchmark passages out of texts; n_chars follows the text."""
+    got = decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return got.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else got
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

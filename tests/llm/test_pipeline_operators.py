@@ -300,6 +300,7 @@ def test_pipeline(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in a if not brute_hits(r.text, items)[4]}
     text = {r.doc_id: r.text for r in a}
+    assert all(r.n_chars == len(r.text) for r in b)
     assert clean <= {r.doc_id for r in b} and all(r.text == text[r.doc_id] for r in b if r.doc_id in clean)
     a, b = seen["mix"]
     assert {r.doc_id for r in b} <= {r.doc_id for r in a} and max(Counter(r.doc_id for r in b).values()) <= 3
