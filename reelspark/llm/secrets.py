@@ -16,10 +16,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import small_batches, written
+from reelspark.operators.ranks import prefix_sums
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,7 +34,6 @@ ALPHABETS = {
     "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 PLACES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
-P_BINS = 4000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -110,13 +110,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def ordinary_below(scans: DataFrame, rate: float) -> dict[str, float]:
-    """Each stratum's Benjamini-Hochberg cut: tokens of a smaller p are ordinary. At most P_BINS rows a stratum are ranked."""
-    p = scans.select(F.explode("tokens").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), F.floor(F.col("t.p") * P_BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    own = W.partitionBy("stratum")
-    upto = F.sum("n").over(own.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    p = p.withColumn("edge", (F.col("bin") + 1) / P_BINS).withColumn("ok", F.col("edge") <= F.lit(rate) * upto / F.sum("n").over(own))
-    return {r.stratum: r.cut for r in p.where("ok").groupBy("stratum").agg(F.max("edge").alias("cut")).collect()}  # a row a stratum
+def ordinary_up_to(scans: DataFrame, rate: float) -> dict[str, float]:
+    """Each stratum's Benjamini-Hochberg cut: tokens of that p or a smaller one are ordinary. The distinct p-values are ranked exactly, in two passes."""
+    p = scans.select(F.explode("tokens").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), F.col("t.p").alias("p")).agg(F.count("*").alias("n"))
+    p = prefix_sums(p, {"n": "upto"}, ["p"], ["stratum"])
+    of = F.broadcast(p.groupBy("stratum").agg(F.sum("n").alias("of")))  # a row a stratum
+    p = p.join(of, "stratum").where(F.col("p") <= F.lit(rate) * F.col("upto") / F.col("of"))
+    return {r.stratum: r.cut for r in p.groupBy("stratum").agg(F.max("p").alias("cut")).collect()}  # a row a stratum
 
 
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
@@ -124,10 +124,10 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     Null texts are empty. Repeated rows get equal answers; the tokens of all rows count in the ranking. Without tokens, no spans are added."""
     got = written(scanned(docs), "scans")
-    cuts = ordinary_below(got, rate)
+    cuts = ordinary_up_to(got, rate)
     cut = F.create_map(*(F.lit(x) for k, v in sorted(cuts.items()) for x in (k, v))) if cuts else None
-    below = (lambda t: F.coalesce(F.element_at(cut, t["stratum"]), F.lit(0.0))) if cuts else (lambda t: F.lit(0.0))
-    random = F.transform(F.filter("tokens", lambda t: t["p"] >= below(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    upto = (lambda t: F.coalesce(F.element_at(cut, t["stratum"]), F.lit(-1.0))) if cuts else (lambda t: F.lit(-1.0))
+    random = F.transform(F.filter("tokens", lambda t: t["p"] > upto(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     every = F.array_sort(F.concat("base", random))
     names = F.array(*map(F.lit, KINDS))
     joined = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")

@@ -181,6 +181,31 @@ def test_randomness_is_calibrated():
     assert secrets.randomness("ab12" * 10, "base36") < 1e-3 and secrets.randomness("0123456789abcdef" * 2, "hex") < 0.05
 
 
+def brute_random(docs, rate=0.05):
+    """[(doc_id, spans of kind random)] by ranking every p-value of a stratum."""
+    found, ps = [], defaultdict(list)
+    for d in docs:
+        base = [tuple(map(int, b.split(":")[1:])) for b in brute_base(d.text)]
+        for m in secrets.TOKEN.finditer(d.text or ""):
+            if not any(x < m.end() and m.start() < y for x, y in base) and (kind := secrets.encoding(m[0])):
+                found.append((d.doc_id, m.span(), secrets.stratum(kind, len(m[0])), secrets.randomness(m[0], kind)))
+                ps[found[-1][2]].append(found[-1][3])
+    cut = {k: max((p for i, p in enumerate(sorted(v), 1) if p <= rate * i / len(v)), default=-1) for k, v in ps.items()}
+    return Counter((d, f"random:{a}:{b}") for d, (a, b), s, p in found if p > cut[s])
+
+
+def test_hot_stratum(spark):
+    """Ordinary tokens are told from random ones however small their share of the stratum."""
+    rnd = random.Random(6)
+    draw = lambda: "".join(rnd.choice(secrets.ALPHABETS["base62"]) for _ in range(40))
+    hot = draw()
+    texts = [f"copy {hot} of one page" for _ in range(1500)] + [f"key {draw()} here" for _ in range(1500)] + ["a clean " + "aB1" * 14 + " text"] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(secrets.scan(docs))
+    assert [r["n_random"] for r in got if r["doc_id"] >= 3000] == [0] * 6
+    assert Counter((r["doc_id"], s) for r in got for s in r["spans"].split(",") if s) == brute_random(docs.collect())
+
+
 # archives
 
 
