@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over encoded-looking tokens.
 
-A token's encoding is the smallest alphabet that holds its characters. Three tests ask whether it
+A token's encoding is the smallest alphabet that holds its characters; words and numbers joined by - _ / + are
+judged by their letters and digits alone, a capital at a word's start as a small letter. Tests ask whether it
 could be a uniform draw from that alphabet: chi-squared over the symbols, runs about
-the alphabet's middle, and the correlation of neighbours. Their p-values are joined by Bonferroni. Ordinary
+the alphabet's middle, the correlation of neighbours and, where the alphabet has them, the share of the letters that
+are commonest in words. Their p-values are joined by Bonferroni. Ordinary
 identifiers fail them; secrets don't. Which failures count is settled by Benjamini-Hochberg in
 each stratum of encoding and length class, as power depends on length: tokens
 that the procedure rejects are ordinary, the others are spans of kind `random`.
@@ -28,12 +30,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+MARKS = re.compile("[-_/+]+")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
+    "digits": DIGITS, "upper": UPPER, "lower": LOWER,
     "hex": DIGITS + LOWER[:6], "HEX": DIGITS + UPPER[:6], "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER,
     "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 PLACES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
+LEAST = 20
+COMMON = frozenset("aeinorst")  # over six tenths of the letters of English, French, German and Spanish texts
+BY_SIZE = sorted(PLACES, key=lambda k: len(PLACES[k]))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -43,23 +50,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def encoding(token: str) -> str | None:
-    """The smallest alphabet; none for plain words and numbers, and for tokens whose parts between - and _ are such."""
+def tested(token: str) -> str:
+    """The characters that the battery reads: without padding; of words and numbers, LEAST letters and digits or none, without marks, a word's capital as a small letter."""
     body = token.rstrip("=")
-    if all(WORDLIKE.fullmatch(x) for x in re.split("[-_/+]+", body) if x):
-        return None
-    seen = set(body)
-    return next((k for k, v in PLACES.items() if seen <= v.keys()), None)
+    parts = [x for x in MARKS.split(body) if x]
+    if all(map(WORDLIKE.fullmatch, parts)):
+        body = "".join(x if x.isupper() else x.lower() for x in parts)
+    return body if len(body) >= LEAST else ""
+
+
+def encoding(token: str) -> str | None:
+    """The smallest alphabet; none for words and numbers of too few characters, and where no alphabet holds them."""
+    seen = set(tested(token))
+    return next((k for k in BY_SIZE if seen <= PLACES[k].keys()), None) if seen else None
 
 
 def tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def at_least(m: int, n: int, share: float) -> float:
+    """P(a binomial count of n is m or more)."""
+    gamma = math.lgamma
+    return min(1.0, math.fsum(math.exp(gamma(n + 1) - gamma(i + 1) - gamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(m, n + 1)))
+
+
 def randomness(token: str, kind: str) -> float:
     """p-value of the battery: small for tokens that are no uniform draws."""
     place, k = PLACES[kind], len(ALPHABETS[kind])
-    v = [place[c] for c in token.rstrip("=")]
+    v = [place[c] for c in tested(token)]
     n = len(v)
     counts: dict[int, int] = {}
     for x in v:
@@ -73,7 +92,11 @@ def randomness(token: str, kind: str) -> float:
     by_runs = tail((runs - (n - 1) / 2) / math.sqrt((n - 1) / 4))
     mean, var = (k - 1) / 2, (k * k - 1) / 12
     serial = tail(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / var / math.sqrt(n - 1))
-    return min(1.0, 3 * min(uniform, by_runs, serial))
+    ps = [uniform, by_runs, serial]
+    if COMMON <= {c.lower() for c in ALPHABETS[kind]}:
+        share, common = sum(c.lower() in COMMON for c in ALPHABETS[kind]) / k, sum(ALPHABETS[kind][x].lower() in COMMON for x in v)
+        ps.append(at_least(common, n, share))
+    return min(1.0, len(ps) * min(ps))
 
 
 def stratum(kind: str, n: int) -> str:

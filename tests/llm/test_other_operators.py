@@ -206,6 +206,17 @@ def test_hot_stratum(spark):
     assert Counter((r["doc_id"], s) for r in got for s in r["spans"].split(",") if s) == brute_random(docs.collect())
 
 
+def test_letters_and_digits_alone(spark):
+    """Random letters of one case and random digits are secrets; words, numbers in order and short ones are not."""
+    rnd = random.Random(8)
+    draw = lambda a, n=32: "".join(rnd.choice(a) for _ in range(n))
+    keys = [draw(secrets.LOWER), draw(secrets.UPPER), draw(secrets.DIGITS, 22), draw(secrets.LOWER).capitalize(), "-".join(draw(secrets.LOWER, 8) for _ in range(4))]
+    words = ["internationalizations", "Geschwindigkeitsbegrenzung", "get_customer_account_balance", "usr/local/lib/python/site-packages", "MAX_CONNECTION_POOL_SIZE_LIMIT", "article-about-cats-and-dogs-2024", "0000000000000000000001", "-" * 40, "a" + "-" * 30, "foo-bar-baz-qux-quux"]
+    scanned = lambda x: [r["spans"] for r in sorted(rows(secrets.scan(spark.createDataFrame([(i, f"é {t} here") for i, t in enumerate(x)], "doc_id long, text string"))), key=lambda r: r["doc_id"])]
+    assert scanned(keys) == [f"random:2:{2 + len(x)}" for x in keys]
+    assert scanned(words) == [""] * len(words)
+
+
 # archives
 
 
