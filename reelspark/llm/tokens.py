@@ -110,19 +110,23 @@ def later_copies(counts: DataFrame) -> DataFrame:
     return counts.join(first, "copy_key").where(F.col("doc_id") > F.col("first"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Documents in which a line occurs twice, with the first of each line only."""
+def revisions(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A row for each document in which a line occurs twice: doc_id, source, lang, copy_key, the counts bpe and words of its text, and
+    new_bpe and new_words of the text with the first of each line only."""
+    small_batches(docs.sparkSession)
     lines = F.split(F.col("text"), "\n")
     once = F.array_distinct(lines)
-    return docs.where(F.size(once) < F.size(lines)).withColumn("text", F.array_join(once, "\n"))
+    found = docs.where(F.size(once) < F.size(lines)).select("doc_id", "source", "lang", "text", F.array_join(once, "\n").alias("new"))
+    counts = [f(F.col(c)).alias(p + name) for c, p in (("text", ""), ("new", "new_")) for name, f in (("bpe", lambda t: bpe_count(t, vocabulary)), ("words", n_words))]
+    return found.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("copy_key"), *counts)
 
 
 def maintained(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rollup over documents after three batches: all are loaded; later exact copies are deleted; counts of
     documents with repeated lines are revised to those of the text without them. The second batch is sent twice.
 
-    Null texts count as a document without tokens; null sources and languages are groups. Repeated rows are documents of
-    their own. An empty table gives no rows."""
+    Null texts count as a document without tokens; null sources and languages are groups. Every row is a document of
+    its own, whichever rows share its doc_id: old and revised counts are taken from the row. A null doc_id is no later copy. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     rollup = Rollup(spark, work_dir(spark, "rollup"))
     counts = written(counted(docs, vocabulary), "counts")
@@ -130,8 +134,7 @@ def maintained(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -
     rollup.commit("load", signed(counts, 1))
     rollup.commit("copies", signed(gone, -1))
     rollup.commit("copies", signed(gone, -1))
-    kept = counts.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    new = written(counted(without_repeated_lines(docs), vocabulary), "revised").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    old = kept.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
-    rollup.commit("lines", signed(old, -1).unionByName(signed(new, 1)))
+    changed = written(revisions(docs, vocabulary), "revised").join(gone.select("doc_id", "copy_key").distinct(), ["doc_id", "copy_key"], "left_anti")
+    new = changed.select("source", "lang", F.col("new_bpe").alias("bpe"), F.col("new_words").alias("words"))
+    rollup.commit("lines", signed(changed, -1).unionByName(signed(new, 1)))
     return rollup.totals()

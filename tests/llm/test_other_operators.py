@@ -88,6 +88,23 @@ def test_token_rollup(spark):
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
+def test_token_rollup_odd_ids(spark, tmp_path):
+    """Null doc_ids, and texts that share one: each row is revised by its own counts."""
+    data = [(None, "a b\na b\nc"), (None, "a b\na b\nc"), (None, "plain"), (1, "x y\nx y"), (1, "other words here"), (1, "x y\nx y"), (2, "first"), (3, "first"), (3, "q r\nq r\nq r"), (4, "x y\nx y"), (5, None), (None, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en" if t != "plain" else None, "s") for i, t in data], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    e, want = tokens.encoder(tokens.VOCABULARY), defaultdict(lambda: [0, 0])
+    for i, t in data:
+        if i is not None and t is not None and any(j is not None and j < i and s == t for j, s in data):
+            continue
+        text = "\n".join(dict.fromkeys((t or "").split("\n")))
+        for name, n in (("byte_bpe_50k", len(e.encode_ordinary(text))), ("words-1", len(text.split()))):
+            w = want["s", "en" if t != "plain" else None, name]
+            w[0], w[1] = w[0] + 1, w[1] + n
+    got = rows(tokens.maintained(spark, str(tmp_path)))
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in got} == {k: tuple(v) for k, v in want.items()}
+
+
 def test_rollup_commits(spark, odd_docs, no_docs):
     r = tokens.Rollup(spark, work_dir(spark, "rollup"))
     assert r.totals().count() == 0
