@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over encoded-looking tokens.
 
 A token's encoding is the smallest alphabet that holds its characters; words and numbers joined by - _ / + are
-judged by their letters and digits alone, a capital at a word's start as a small letter. Tests ask whether it
-could be a uniform draw from that alphabet: chi-squared over the symbols, runs about
-the alphabet's middle, the correlation of neighbours and, where the alphabet has them, the share of the letters that
-are commonest in words. Their p-values are joined by Bonferroni. Ordinary
-identifiers fail them; secrets don't. Which failures count is settled by Benjamini-Hochberg in
-each stratum of encoding and length class, as power depends on length: tokens
-that the procedure rejects are ordinary, the others are spans of kind `random`.
+judged by their letters and digits alone, a capital at a word's start as a small letter. The battery asks how far it
+is from a uniform draw of that alphabet: chi-squared over the symbols, runs about the alphabet's middle, the correlation
+of neighbours and, where the alphabet has them, the share of the letters that are commonest in words. Their least
+p-value, allowing for their number, becomes a score: near 0 for uniform draws, the higher the less uniform.
+
+The hypothesis under test is that a token is ordinary: made of words and numbers. How ordinary tokens of an encoding and
+length class score is found from made-up ones, words joined in the encoding's manner (camelCase, numbers, marks): words by usual letters,
+and words by the corpus's own letter pairs. The median and lower spread of each turn a score into a p-value, of which the
+larger holds, so a corpus of few or odd words can't make others look random; short tokens, which tell little, get large ones.
+Benjamini-Hochberg over the distinct tokens of all documents bounds the share of ordinary ones among those reported as `random`.
 """
 
 from __future__ import annotations
@@ -15,12 +18,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions.columns import erfc
 from reelspark.llm.common import small_batches, written
 from reelspark.operators.ranks import prefix_sums
 
@@ -41,6 +49,14 @@ PLACES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 LEAST = 20
 COMMON = frozenset("aeinorst")  # over six tenths of the letters of English, French, German and Spanish texts
 BY_SIZE = sorted(PLACES, key=lambda k: len(PLACES[k]))
+MARKED = {"base64": "+/", "base64url": "-_"}
+MADE_UP = 4_000  # ordinary tokens drawn for each stratum
+#: Fixed value: small letters from the commonest in prose to the rarest.
+USUAL = "etaoinshrdlcumwfgypbvkjxqz"
+EXPECTED = 2_000  # pairs of usual letters that are added to those of the corpus
+_LETTER = np.zeros(256, np.int64)
+_LETTER[[*range(65, 91)]] = _LETTER[[*range(97, 123)]] = range(1, 27)
+_NORMAL = NormalDist()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,38 +81,56 @@ def encoding(token: str) -> str | None:
     return next((k for k in BY_SIZE if seen <= PLACES[k].keys()), None) if seen else None
 
 
-def tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+_tail = np.frompyfunc(lambda z: math.erfc(abs(z) / math.sqrt(2)), 1, 1)
+_above = np.frompyfunc(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), 1, 1)
 
 
-def at_least(m: int, n: int, share: float) -> float:
-    """P(a binomial count of n is m or more)."""
+@lru_cache(4096)
+def at_least(n: int, share: float) -> np.ndarray:
+    """P(a binomial count of n is m or more) for m = 0 .. n."""
     gamma = math.lgamma
-    return min(1.0, math.fsum(math.exp(gamma(n + 1) - gamma(i + 1) - gamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(m, n + 1)))
+    each = [math.exp(gamma(n + 1) - gamma(i + 1) - gamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(n + 1)]
+    return np.minimum(1.0, np.cumsum(each[::-1])[::-1])
 
 
-def randomness(token: str, kind: str) -> float:
-    """p-value of the battery: small for tokens that are no uniform draws."""
-    place, k = PLACES[kind], len(ALPHABETS[kind])
-    v = [place[c] for c in tested(token)]
-    n = len(v)
-    counts: dict[int, int] = {}
-    for x in v:
-        counts[x] = counts.get(x, 0) + 1
-    chi = k / n * sum(c * c for c in counts.values()) - n
+@lru_cache(None)
+def _common(kind: str) -> np.ndarray | None:
+    """Which symbols are common letters; none for alphabets without all of them."""
+    is_common = np.array([c.lower() in COMMON for c in ALPHABETS[kind]])
+    return is_common if COMMON <= {c.lower() for c in ALPHABETS[kind]} else None
+
+
+def battery(v: np.ndarray, kind: str) -> np.ndarray:
+    """p-values of tokens (a row of places in the alphabet each, all of one length): small for tokens that are no uniform draws."""
+    m, n = v.shape
+    k = len(ALPHABETS[kind])
+    counts = np.bincount((np.arange(m)[:, None] * k + v).ravel(), minlength=m * k).reshape(m, k)
+    chi = k / n * (counts * counts).sum(axis=1) - n
     df = (k - 1) * n / (n - 1)  # a gamma variable of the statistic's own mean and variance; Wilson-Hilferty
-    z = ((max(0.0, chi) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    uniform = 0.5 * math.erfc(z / math.sqrt(2))
-    high = [x >= k / 2 for x in v]
-    runs = sum(a != b for a, b in zip(high, high[1:], strict=False))
-    by_runs = tail((runs - (n - 1) / 2) / math.sqrt((n - 1) / 4))
-    mean, var = (k - 1) / 2, (k * k - 1) / 12
-    serial = tail(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / var / math.sqrt(n - 1))
+    uniform = _above((np.cbrt(np.maximum(0.0, chi) / (k - 1)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = v >= k / 2
+    by_runs = _tail(((high[:, 1:] != high[:, :-1]).sum(axis=1) - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    x = v - (k - 1) / 2
+    serial = _tail((x[:, 1:] * x[:, :-1]).sum(axis=1) / ((k * k - 1) / 12) / math.sqrt(n - 1))
     ps = [uniform, by_runs, serial]
-    if COMMON <= {c.lower() for c in ALPHABETS[kind]}:
-        share, common = sum(c.lower() in COMMON for c in ALPHABETS[kind]) / k, sum(ALPHABETS[kind][x].lower() in COMMON for x in v)
-        ps.append(at_least(common, n, share))
-    return min(1.0, len(ps) * min(ps))
+    if (common := _common(kind)) is not None:
+        ps.append(at_least(n, float(common.mean()))[common[v].sum(axis=1)])
+    least = np.min(np.array(ps, float), axis=0)
+    return -np.expm1(len(ps) * np.log1p(-np.minimum(least, 1 - 1e-16)))
+
+
+def places(token: str, kind: str) -> np.ndarray:
+    return np.array([PLACES[kind][c] for c in tested(token)])
+
+
+def randomness(token: str, kind: str) -> float:
+    """p-value of the battery: small for tokens that are no uniform draws."""
+    return float(battery(places(token, kind)[None, :], kind)[0])
+
+
+def scores(p: np.ndarray) -> np.ndarray:
+    """The normal deviate of each p-value: about 0 for uniform draws, high for others; kept in a range that doubles can tell."""
+    return np.array([_NORMAL.inv_cdf(1 - x) if x > 1e-9 else -_NORMAL.inv_cdf(max(x, 1e-300)) for x in np.clip(p, 0, 1 - 1e-3)])
 
 
 def stratum(kind: str, n: int) -> str:
@@ -104,12 +138,108 @@ def stratum(kind: str, n: int) -> str:
     return f"{kind}:{int(2 * math.log2(min(n, 1024)))}"
 
 
+def least_length(name: str) -> int:
+    """The shortest length of a stratum's class, where ordinary tokens look most like draws."""
+    return max(LEAST, math.ceil(2 ** (int(name.partition(":")[2]) / 2) - 1e-9))
+
+
+def letter_pairs(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Counts of the pairs of neighbouring letters of a text outside the spans, 27 x 27 flat, in any case; 0 is anything else."""
+    own = _LETTER[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    for a, b in spans:
+        own[a:b] = 0
+    own = np.concatenate([[0], own, [0]])
+    pairs = np.bincount(own[:-1] * 27 + own[1:], minlength=729)
+    pairs[0] = 0
+    return pairs
+
+
+def chain(pairs: np.ndarray) -> np.ndarray:
+    """27 x 27 chances of the next letter (0: the word's end), from counted pairs and EXPECTED ones by USUAL."""
+    usual = np.zeros(27)
+    usual[[ord(c) - 96 for c in USUAL]] = np.exp(-np.arange(26) / 7.5)
+    usual /= usual.sum()
+    share = np.append(1.0, usual[1:])  # a word of five letters or so in the mean
+    prior = np.outer(share / share.sum(), np.append(0.2, 0.8 * usual[1:]))
+    prior[0] = share[0] / share.sum() * usual
+    table = pairs.reshape(27, 27) + EXPECTED * prior
+    table[0, 0] = 0
+    return table / table.sum(axis=1, keepdims=True)
+
+
+def ordinary(kind: str, n: int, steps: np.ndarray, count: int = MADE_UP, seed: int = 5) -> np.ndarray:
+    """count x n places of made-up ordinary tokens of an encoding: words by the chain of letters, each followed by a number or a mark where the
+    alphabet has them; capitals begin words where it has both cases. Digits alone are counters, dates and padding: half repeat the one before and a quarter follow it."""
+    rnd = np.random.default_rng([seed, n, BY_SIZE.index(kind)])
+    place, alphabet = PLACES[kind], ALPHABETS[kind]
+    digit = np.array([place[c] for c in alphabet if c in DIGITS])
+    out = np.zeros((count, n), np.int64)
+    if kind == "digits":
+        at = rnd.integers(0, 10, count)
+        for i in range(n):
+            u = rnd.random(count)
+            at = np.where(u < 0.5, at, np.where(u < 0.75, (at + 1) % 10, rnd.integers(0, 10, count)))
+            out[:, i] = at
+        return out
+    small, large = ([place.get(c, -1) for c in letters] for letters in (LOWER, UPPER))
+    known = np.array([False, *(max(a, b) >= 0 for a, b in zip(small, large, strict=True))])
+    both = min(small[0], large[0]) >= 0
+    capital = np.array([0, *(b if b >= 0 else a for a, b in zip(small, large, strict=True))])
+    plain = np.array([0, *(a if a >= 0 else b for a, b in zip(small, large, strict=True))])
+    mark = np.array([place[c] for c in MARKED.get(kind, "")])
+    go = steps[:, 1:] * known[1:]
+    go = np.cumsum(go / go.sum(axis=1, keepdims=True), axis=1)
+    letter, left, fresh = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, bool)
+    for i in range(n):
+        u, w, x = rnd.random((3, count))
+        ended = (letter > 0) & (x < steps[letter, 0])
+        letter[ended], fresh[ended] = 0, True
+        began = fresh & (letter == 0) & (left == 0) & (w < (0.5 if len(digit) else 0.0))
+        left[began] = rnd.geometric(0.5, int(began.sum()))
+        marked = fresh & (letter == 0) & (left == 0) & (w > 0.5) & (len(mark) > 0)
+        number = left > 0
+        word = ~number & ~marked
+        starts = word & (letter == 0)
+        letter[word] = 1 + np.minimum(25, (u[word, None] > go[letter[word]]).sum(axis=1))
+        upper = starts & (rnd.random(count) < 0.9) if both else starts & False
+        out[:, i] = np.where(upper, capital[letter], plain[letter])
+        if len(digit):
+            out[number, i] = digit[(x[number] * len(digit)).astype(int)]
+        if len(mark):
+            out[marked, i] = mark[(u[marked] * len(mark)).astype(int)]
+        left[number] -= 1
+        fresh[:] = False
+    return out
+
+
+def calibrated(strata: list[str], pairs: np.ndarray) -> dict[str, tuple[float, ...]]:
+    """Stratum -> median and lower spread of the scores of its ordinary tokens: by usual letters, then by the corpus's letter pairs."""
+    chains, out = (chain(np.zeros(729)), chain(pairs)), {}
+    for name in strata:
+        kind, n, found = name.partition(":")[0], least_length(name), []
+        for steps in chains:
+            low, middle = np.quantile(scores(battery(ordinary(kind, n, steps), kind)), [0.005, 0.5])
+            found += [float(middle), float(max(middle - low, 0.5) / 2.576)]
+        out[name] = tuple(found)
+    return out
+
+
+def deviate(score: float, known: tuple[float, ...]) -> float:
+    """How far a score lies below or above those of ordinary tokens, in spreads, for the letters that make it the most ordinary."""
+    return max((score - known[0]) / known[1], (score - known[2]) / known[3])
+
+
+TOKEN_FIELDS = "start: long, end: long, stratum: string, score: double, same: binary"
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base spans and tested tokens of every document."""
+    """doc_id, counts, base spans and tested tokens of every document; and in a batch's first row its letter pairs outside spans and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, base, digest, tokens = ([], [], []), [], [], []
+            groups: dict[tuple[str, int], list[tuple[dict, str]]] = defaultdict(list)
+            pairs = np.zeros(729, np.int64)
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
@@ -118,40 +248,67 @@ def scanned(docs: DataFrame) -> DataFrame:
                 names = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
                 digest.append(hashlib.sha256(names.encode()).hexdigest())
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                found = []
+                found, closed, i, reach = [], [(a, b) for a, _, b in spans], 0, -1
                 for m in TOKEN.finditer(text):
                     a, b = m.span()
-                    if not any(x < b and a < y for x, _, y in spans) and (kind := encoding(m[0])):
-                        found.append({"start": a, "end": b, "stratum": stratum(kind, b - a), "p": randomness(m[0], kind)})
+                    closed.append((a, b))
+                    while i < len(spans) and spans[i][0] < b:
+                        reach, i = max(reach, spans[i][2]), i + 1
+                    if reach <= a and (kind := encoding(m[0])):
+                        n = len(tested(m[0]))
+                        found.append({"start": a, "end": b, "stratum": stratum(kind, n), "same": hashlib.md5(m[0].encode()).digest()})
+                        groups[kind, n].append((found[-1], m[0]))
                 tokens.append(found)
-            span, token = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("p", pa.float64())])
-            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(base, pa.list_(span)), pa.array(tokens, pa.list_(token))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens"])
+                pairs += letter_pairs(text, closed)
+            for (kind, _), some in groups.items():
+                for (token, _), s in zip(some, scores(battery(np.stack([places(t, kind) for _, t in some]), kind)), strict=True):
+                    token["score"] = float(s)
+            span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+            token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("score", pa.float64()), ("same", pa.binary())])
+            letters = pa.array([pairs.tolist()] * min(1, len(base)) + [None] * (len(base) - 1), pa.list_(pa.int64()))
+            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(base, pa.list_(span)), pa.array(tokens, pa.list_(token)), letters]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens", "letters"])
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, tokens array<struct<start: long, end: long, stratum: string, p: double>>"
+    schema = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, tokens array<struct<{TOKEN_FIELDS}>>, letters array<long>"
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def ordinary_up_to(scans: DataFrame, rate: float) -> dict[str, float]:
-    """Each stratum's Benjamini-Hochberg cut: tokens of that p or a smaller one are ordinary. The distinct p-values are ranked exactly, in two passes."""
-    p = scans.select(F.explode("tokens").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), F.col("t.p").alias("p")).agg(F.count("*").alias("n"))
-    p = prefix_sums(p, {"n": "upto"}, ["p"], ["stratum"])
-    of = F.broadcast(p.groupBy("stratum").agg(F.sum("n").alias("of")))  # a row a stratum
-    p = p.join(of, "stratum").where(F.col("p") <= F.lit(rate) * F.col("upto") / F.col("of"))
-    return {r.stratum: r.cut for r in p.groupBy("stratum").agg(F.max("p").alias("cut")).collect()}  # a row a stratum
+def known_strata(scans: DataFrame) -> dict[str, tuple[float, ...]]:
+    """calibrated() for the strata that the scans hold, with the letter pairs of all texts."""
+    strata = [r.stratum for r in scans.select(F.explode("tokens.stratum").alias("stratum")).distinct().collect()]  # encodings times length classes
+    if not strata:
+        return {}
+    pairs = np.zeros(729, np.int64)
+    for r in scans.where("letters is not null").select(F.posexplode("letters").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # 729 rows
+        pairs[r.i] = r.n
+    return calibrated(sorted(strata), pairs)
+
+
+def secret_up_to(z: DataFrame, rate: float) -> float | None:
+    """The Benjamini-Hochberg cut of the deviates z of distinct tokens: those of it or a smaller one are no ordinary ones. Distinct values are ranked exactly, in two passes."""
+    each = z.groupBy("z").agg(F.count("*").alias("n"))
+    ranked = prefix_sums(each, {"n": "upto"}, ["z"]).withColumn("p", 0.5 * erfc(-F.col("z") / math.sqrt(2)))
+    of = F.broadcast(each.agg(F.sum("n").alias("of")))
+    return ranked.join(of, F.lit(True)).where(F.col("p") <= F.lit(rate) * F.col("upto") / F.col("of")).agg(F.max("z").alias("cut")).first().cut
 
 
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, by start), n_random.
+    """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, by start), n_random, n_tested.
 
-    Null texts are empty. Repeated rows get equal answers; the tokens of all rows count in the ranking. Without tokens, no spans are added."""
+    `rate` bounds the expected share of ordinary tokens among the distinct ones reported as random. Null and empty texts have no spans; a text of any
+    length is read as a whole. A null doc_id is kept. Repeated rows get equal answers, and a token counts once in the ranking however often it occurs;
+    equal p-values stand or fall together. Without tokens, no spans are added. An empty table gives no rows. Other columns, whatever their names, are not read."""
     got = written(scanned(docs), "scans")
-    cuts = ordinary_up_to(got, rate)
-    cut = F.create_map(*(F.lit(x) for k, v in sorted(cuts.items()) for x in (k, v))) if cuts else None
-    upto = (lambda t: F.coalesce(F.element_at(cut, t["stratum"]), F.lit(-1.0))) if cuts else (lambda t: F.lit(-1.0))
-    random = F.transform(F.filter("tokens", lambda t: t["p"] > upto(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    known = known_strata(got)
+    of = lambda t, i: F.element_at(F.create_map(*(F.lit(x) for k, v in sorted(known.items()) for x in (k, v[i]))), t["stratum"])
+    z = lambda t: F.greatest(*((t["score"] - of(t, i)) / of(t, i + 1) for i in (0, 2)))
+    cut = None
+    if known:
+        each = got.select(F.explode("tokens").alias("t")).groupBy("t.same").agg(F.first("t").alias("t"))  # a token's stratum and score follow from itself
+        cut = secret_up_to(each.select(z(F.col("t")).alias("z")), rate)
+    random = F.transform(F.filter("tokens", lambda t: z(t) <= F.lit(cut) if cut is not None else F.lit(False)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     every = F.array_sort(F.concat("base", random))
     names = F.array(*map(F.lit, KINDS))
     joined = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    return got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined.alias("spans"), F.size(random).cast("long").alias("n_random"))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined.alias("spans"), F.size(random).cast("long").alias("n_random"), F.size("tokens").cast("long").alias("n_tested"))

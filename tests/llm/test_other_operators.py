@@ -6,6 +6,7 @@ import random
 import re
 import zipfile
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -199,20 +200,26 @@ def test_randomness_is_calibrated():
 
 
 def brute_random(docs, rate=0.05):
-    """[(doc_id, spans of kind random)] by ranking every p-value of a stratum."""
-    found, ps = [], defaultdict(list)
+    """[(doc_id, spans of kind random)] by ranking the p-value of every distinct token."""
+    found, pairs = [], np.zeros(729, np.int64)
     for d in docs:
         base = [tuple(map(int, b.split(":")[1:])) for b in brute_base(d.text)]
-        for m in secrets.TOKEN.finditer(d.text or ""):
+        tokens = list(secrets.TOKEN.finditer(d.text or ""))
+        shut = {i for x, y in [*base, *(m.span() for m in tokens)] for i in range(x, y)}
+        low = [0, *(0 if i in shut or not re.fullmatch("[A-Za-z]", c) else ord(c.lower()) - 96 for i, c in enumerate(d.text or "")), 0]
+        for x, y in zip(low, low[1:], strict=False):
+            pairs[27 * x + y] += (x, y) != (0, 0)
+        for m in tokens:
             if not any(x < m.end() and m.start() < y for x, y in base) and (kind := secrets.encoding(m[0])):
-                found.append((d.doc_id, m.span(), secrets.stratum(kind, len(m[0])), secrets.randomness(m[0], kind)))
-                ps[found[-1][2]].append(found[-1][3])
-    cut = {k: max((p for i, p in enumerate(sorted(v), 1) if p <= rate * i / len(v)), default=-1) for k, v in ps.items()}
-    return Counter((d, f"random:{a}:{b}") for d, (a, b), s, p in found if p > cut[s])
+                found.append((d.doc_id, m.span(), m[0], secrets.stratum(kind, len(secrets.tested(m[0]))), secrets.randomness(m[0], kind)))
+    known = secrets.calibrated(sorted({s for *_, s, _ in found}), pairs)
+    p = {t: NormalDist().cdf(secrets.deviate(secrets.scores(np.array([x]))[0], known[s])) for _, _, t, s, x in found}
+    cut = max((x for i, x in enumerate(sorted(p.values()), 1) if x <= rate * i / len(p)), default=-1)
+    return Counter((d, f"random:{a}:{b}") for d, (a, b), t, _, _ in found if p[t] <= cut)
 
 
 def test_hot_stratum(spark):
-    """Ordinary tokens are told from random ones however small their share of the stratum."""
+    """Ordinary tokens are told from random ones however small their share of the stratum, and copies of one random token don't lower the bar for others."""
     rnd = random.Random(6)
     draw = lambda: "".join(rnd.choice(secrets.ALPHABETS["base62"]) for _ in range(40))
     hot = draw()
@@ -234,6 +241,35 @@ def test_letters_and_digits_alone(spark):
     assert scanned(words) == [""] * len(words)
 
 
+WORDS = "get set user name account balance value index list file path data table row column key map tree query option event view model state item count total order customer com example project utils string buffer stream input thread lock queue client server request header token auth session cache page block merge split group filter sort rank score label train test".split()
+
+
+def test_identifiers_and_secrets(spark):
+    """Of made-up identifiers hardly any is reported, of random tokens of 40 characters most, in one table and identifiers alone."""
+    rnd = random.Random(4)
+    ids = []
+    while len(ids) < 2400:
+        ws = [rnd.choice(WORDS) + (str(rnd.randint(0, 99)) if rnd.random() < 0.4 else "") for _ in range(rnd.randint(3, 6))]
+        t = (ws[0] + "".join(map(str.capitalize, ws[1:])), "_".join(ws), "".join(ws), "/".join(ws), "-".join(ws).upper())[len(ids) % 5]
+        ids += [t] if len(t) >= 20 else []
+    keys = [k for a in secrets.ALPHABETS.values() for k in ("".join(rnd.choice(a) for _ in range(40)) for _ in range(20)) if not secrets.HEX.search(k)]
+    scan = lambda x: [r["n_random"] for r in sorted(rows(secrets.scan(spark.createDataFrame([(i, f"the value {t} here") for i, t in enumerate(x)], "doc_id long, text string"))), key=lambda r: r["doc_id"])]
+    assert sum(scan(ids)) <= 2
+    got = scan(ids + keys)
+    assert sum(got[: len(ids)]) <= 0.1 * len(keys) and sum(got[len(ids) :]) >= 0.7 * len(keys)
+
+
+def test_made_up_tokens_are_ordinary():
+    """p-values of ordinary tokens that the calibration has not seen are no smaller than they say."""
+    steps = secrets.chain(np.zeros(729))
+    for name in ("lower:8", "base36:10", "base62:9", "base64url:11", "digits:9", "hex:8"):
+        kind, n = name.partition(":")[0], secrets.least_length(name)
+        middle, spread = secrets.calibrated([name], np.zeros(729))[name][:2]
+        z = (secrets.scores(secrets.battery(secrets.ordinary(kind, n, steps, 2000, seed=99), kind)) - middle) / spread
+        for p in (0.05, 0.01, 0.001):
+            assert (z <= NormalDist().inv_cdf(p)).mean() <= 2 * p + 0.003, (name, p)
+
+
 # archives
 
 
