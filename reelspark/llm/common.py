@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.sources.work import shared_dir, work_dir, written
 
-__all__ = ["WORD", "n_words", "shared_dir", "small_batches", "table", "uniform", "work_dir", "written"]
+__all__ = ["WORD", "few", "n_words", "shared_dir", "table", "uniform", "work_dir", "written"]
 
 #: ASCII white space that separates words, and the pattern of a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python 512 rows at a time, where the session leaves it at the general 10,000: a batch of long texts fits beside others."""
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "512")
+def few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices. Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch); a slice bounds what becomes Python objects at once."""
+    for batch in batches:
+        for i in range(0, max(1, len(batch)), rows):
+            yield batch[i : i + rows]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import small_batches, written
+from reelspark.llm.common import few, written
 
 PART_BYTES, PASS_PARTS = 1_000_000, 4
 #: Bytes that end a word become a blank, A-Z become a-z, the rest stay: bytes above 0x7F belong to words.
@@ -170,7 +170,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, item_text: str) -> DataFrame:
     """docs (with __text binary) plus __n words, __spans and __items, one pass over docs for each PASS_PARTS parts of the benchmark."""
-    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.withColumn("__n", F.lit(0).cast("long")).withColumn("__spans", F.array().cast("array<array<long>>")).withColumn("__items", F.array().cast("array<string>"))
     at = docs.columns.index("__text")
@@ -180,7 +179,7 @@ def _with_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, ite
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             automata = [b.value for b in sent]
-            for batch in batches:
+            for batch in few(batches):
                 n = batch.num_columns
                 counts, all_spans, all_items = [], [], []
                 for text, s, i in zip(batch.column(at), batch.column(n - 2), batch.column(n - 1), strict=True):
@@ -222,7 +221,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, span: int = 10, c
     got = _with_spans(docs.select(others, F.col("text").cast("binary").alias("__text")), items, window, "item_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             texts, kept = batch.column("__text").to_pylist(), []
             for i, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import small_batches
+from reelspark.llm.common import few
 
 SLOTS = 1 << 18
 PIECE = 500_000  # code points handled at once
@@ -99,7 +99,6 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, close: float = 0.25, l
     The fit reads about `docs_per_language` documents of each language, the same at every size: those of the least
     hashes. A trigram joins the profile of each language in which it occurs `least` times or more and at least
     `close` times as often, in proportion, as in the language where it is commonest."""
-    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     names = sorted(sizes)
@@ -109,7 +108,7 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, close: float = 0.25, l
     share = F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, docs_per_language / sizes[k])))), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             langs = batch.column("lang").to_pylist()
             for first, run in pieces(batch.column("text").to_pylist()):
                 h, n = trigram_hashes(run)
@@ -140,12 +139,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     `und` with score 0: null texts, texts without a letter, every text if nothing was learned. A text of unknown
     trigrams gets the commonest language with score 0; ties go to the language that sorts first."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * 8 bytes for 64 languages
-    small_batches(docs.sparkSession)
     fields = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in few(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if m.languages:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import small_batches, written
+from reelspark.llm.common import few, written
 
 BINS, ROWS = 200, 5
 BANDS = BINS // ROWS
@@ -101,7 +101,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
-        for batch in batches:
+        for batch in few(batches):
             n, sigs, rows = [], [], []
             for text in batch.column(1):
                 x = of(text.as_py())
@@ -110,22 +110,20 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 rows.append(bands(sketch(x)) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "bands"])
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, items): the full sets of the listed documents, written."""
-    small_batches(docs.sparkSession)
-    few = ids.count() <= BROADCAST_IDS
+    small = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
-        for batch in batches:
+        for batch in few(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "items"])
 
     own = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary"))
-    return written(own.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id", "items"]), "sets")
+    return written(own.join(F.broadcast(ids) if small else ids, "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id", "items"]), "sets")
 
 
 def meeting(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

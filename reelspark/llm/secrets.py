@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import erfc
-from reelspark.llm.common import small_batches, written
+from reelspark.llm.common import few, written
 from reelspark.operators.ranks import prefix_sums
 
 KINDS = ("assign", "access", "hex", "random")
@@ -189,6 +189,7 @@ def ordinary(kind: str, n: int, steps: np.ndarray, count: int = MADE_UP, seed: i
     mark = np.array([place[c] for c in MARKED.get(kind, "")])
     go = steps[:, 1:] * known[1:]
     go = np.cumsum(go / go.sum(axis=1, keepdims=True), axis=1)
+    drawn = 1 + np.minimum(25, [np.searchsorted(g, (np.arange(4096) + 0.5) / 4096) for g in go])  # the letter for each of 4096 equal parts of [0, 1)
     letter, left, fresh = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, bool)
     for i in range(n):
         u, w, x = rnd.random((3, count))
@@ -200,7 +201,7 @@ def ordinary(kind: str, n: int, steps: np.ndarray, count: int = MADE_UP, seed: i
         number = left > 0
         word = ~number & ~marked
         starts = word & (letter == 0)
-        letter[word] = 1 + np.minimum(25, (u[word, None] > go[letter[word]]).sum(axis=1))
+        letter[word] = drawn[letter[word], (u[word] * 4096).astype(int)]
         upper = starts & (rnd.random(count) < 0.9) if both else starts & False
         out[:, i] = np.where(upper, capital[letter], plain[letter])
         if len(digit):
@@ -236,7 +237,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base spans and tested tokens of every document; and in a batch's first row its letter pairs outside spans and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             counts, base, digest, tokens = ([], [], []), [], [], []
             groups: dict[tuple[str, int], list[tuple[dict, str]]] = defaultdict(list)
             pairs = np.zeros(729, np.int64)
@@ -270,7 +271,6 @@ def scanned(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens", "letters"])
 
     schema = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, tokens array<struct<{TOKEN_FIELDS}>>, letters array<long>"
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

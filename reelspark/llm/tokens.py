@@ -16,7 +16,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import n_words, small_batches, table, work_dir, written
+from reelspark.llm.common import few, n_words, table, work_dir, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that this vocabulary was made with.
@@ -44,14 +44,13 @@ def bpe_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(vocabulary)
         for texts in batches:
-            yield pa.array([len(e.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
+            yield pa.array([len(e.encode_ordinary(t)) if t else 0 for part in few([texts]) for t in part.to_pylist()], pa.int64())
 
     return count(text)
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, lang, copy_key, bpe, words) of each document: one read of the texts."""
-    small_batches(docs.sparkSession)
     t = F.col("text")
     return docs.select("doc_id", "source", "lang", F.md5(t.cast("binary")).alias("copy_key"), bpe_count(t, vocabulary).alias("bpe"), n_words(t).alias("words"))
 
@@ -113,7 +112,6 @@ def later_copies(counts: DataFrame) -> DataFrame:
 def revisions(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row for each document in which a line occurs twice: doc_id, source, lang, copy_key, the counts bpe and words of its text, and
     new_bpe and new_words of the text with the first of each line only."""
-    small_batches(docs.sparkSession)
     lines = F.split(F.col("text"), "\n")
     once = F.array_distinct(lines)
     found = docs.where(F.size(once) < F.size(lines)).select("doc_id", "source", "lang", "text", F.array_join(once, "\n").alias("new"))

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import small_batches, work_dir, written
+from reelspark.llm.common import few, work_dir, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES, READ_BYTES, TASK_BYTES = 256_000_000, 8_000_000, 16_000_000
@@ -88,7 +88,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
             stream.close()
             made.append((f"{folder}/{path}", len(lines), store.get_file_info(f"{root}/{path}").size))
 
-        for batch in batches:
+        for batch in few(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = f"{uuid.uuid4().hex}.wacz"
@@ -109,7 +109,6 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
         cols = list(zip(*made, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
 
-    small_batches(records.sparkSession)
     return written(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, MANIFEST), "manifest")
 
 
