@@ -1,12 +1,17 @@
-"""Line dedup: repeated runs of lines, found in a suffix array by prefix doubling (native DataFrame code).
-
-The suffixes are those of the documents' line sequences. Ranks by one line are places in the order of line digests;
-a doubling step ranks the pair (rank here, rank 2^j lines on) by a range-partitioned
-sort of the distinct pairs, where the increasing row id is the new rank. Lines that occur once are
-unique suffixes from the start and leave, as do suffixes whose run ends. At each width
-the suffixes of equal rank are the intervals of the suffix array with a common prefix of that many
-lines; overlapping intervals of neighbours are a maximal repeated run. Runs of `min_lines` lines count, and shorter ones of
-`min_words` words. The earliest suffix of an interval stays, and the lines of the others go.
+"""Line dedup: repeated runs of lines, found in a suffix array by distributed prefix doubling (native DataFrame code).
+
+A document is its sequence of line IDs: a line that occurs again has the place of its digest in their order, any other line and the end
+of a text have an ID of their own. A doubling step ranks the pairs (rank here, rank 2^j lines on)
+by a range-partitioned sort of the distinct pairs, where the increasing row id is the new rank, until all
+ranks are unique: that is the suffix array of all places with a repeated line. A suffix keeps its ranks at all widths.
+
+The longest common prefix (LCP) of neighbours in the array is found by these ranks, from the widest down, for irreducible places only: where
+the lines before differ too. At the other places it is one less than at the place before. Suffixes between two
+boundaries with an LCP below w are an interval that shares w lines, for any w; overlapping intervals of neighbouring places are a maximal
+repeated run. Runs of `min_lines` lines count, and shorter ones of `min_words` words. The earliest suffix of
+an interval stays, and the lines of the others go.
+
+Of documents with equal texts the first one stands in the array; the others lose all lines (texts under min_lines lines stand in it each).
 """
 
 from __future__ import annotations
@@ -15,74 +20,134 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import n_words, written
+from reelspark.operators.ranks import prefix_sums, row_numbers
 
-DOC = ["doc_id", "tkey"]
+DOC = ["did"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("tkey", F.md5(F.col("text").cast("binary")))
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `rank`, ordered as keys; keys that one row only has leave, and so does that row."""
-    several = rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    order = written(several.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("new", F.monotonically_increasing_id()), "ranks")
-    return rows.join(order, keys).drop(*keys).withColumnRenamed("new", "rank")
-
-
-def repeated_windows(docs: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
-    """For the widths 1, 2, 4 .. min_lines: (doc_id, tkey, pos, words, rank) of the suffixes that share their first `width` lines with
-    another. Equal ranks share them; words are those of the lines (unless the last step overlaps, where they aren't asked for)."""
-    lines = _keyed(docs.select("doc_id", "text")).where("text is not null").select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = _ranked(lines.select(*DOC, "pos", n_words(F.col("line")).alias("words"), F.md5(F.col("line").cast("binary")).alias("line")), ["line"])
-    rows = written(rows.distinct(), "lines")  # rows that repeat a document count once
-    width, out = 1, [(1, rows)]
-    while width < min_lines:
-        step = min(width, min_lines - width)  # the last step may overlap: equal ranks at 0 and `step` cover width + step lines
-        # a run of width + step lines has rows at each of its first `step` places, so the row ahead is `step` rows on
-        ahead = F.lead(F.struct("pos", "rank", "words"), step).over(W.partitionBy(*DOC).orderBy("pos"))
-        pairs = rows.withColumn("ahead", ahead).where(F.col("ahead.pos") == F.col("pos") + step)
-        pairs = pairs.select(*DOC, "pos", (F.col("words") + F.col("ahead.words")).alias("words"), F.col("rank").alias("r1"), F.col("ahead.rank").alias("r2"))
-        rows = written(_ranked(pairs, ["r1", "r2"]), "doubled")
-        width += step
-        out.append((width, rows))
-    return out
+def _ordered(keys: DataFrame, *names: str) -> DataFrame:
+    """Distinct keys with `new`, increasing in their order."""
+    return written(keys.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("new", F.monotonically_increasing_id()), "ranks")
+
+
+def documents(docs: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
+    """(standing, others) of the distinct documents: standing has (did, doc_id, tkey, n, copies), did being the place in the order of doc_id, nulls
+    last, then of the text's digest; others (doc_id, tkey, n) repeat the text of an earlier one and have min_lines lines or more."""
+    texts = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "tkey", F.size(F.split("text", "\n")).alias("n")).distinct()
+    texts = written(texts, "texts")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    classes = texts.groupBy("tkey").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
+    classes = written(classes, "classes")  # read back, so that the join can split a hot text
+    t = texts.join(classes, "tkey", "left").withColumn("again", F.col("m").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n") >= min_lines))
+    copies = F.when(F.col("n") >= min_lines, F.coalesce("m", F.lit(1))).otherwise(F.lit(1)).cast("long")
+    standing = row_numbers(t.where("not again").select("doc_id", "tkey", "n", copies.alias("copies")), F.col("doc_id").asc_nulls_last(), F.col("tkey"), name="did")
+    return written(standing, "standing"), t.where("again").select("doc_id", "tkey", "n")
+
+
+def suffixes(docs: DataFrame, standing: DataFrame) -> DataFrame:
+    """(did, pos, words, before, copies, hist, sa): the suffix array of all places whose line occurs again. sa counts from 1; hist has the suffix's ranks
+    at 1, 2, 4 .. lines, equal for suffixes that share so many; before is the rank of the line before, if that occurs again; words are the line's."""
+    lines = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("doc_id", "tkey", "pos", n_words(F.col("line")).alias("words"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("line"))
+    order = _ordered(lines.groupBy("line").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "line")
+    d = standing.select(F.col("doc_id").alias("d_id"), F.col("tkey").alias("d_key"), "did", "copies")
+    rows = lines.join(order, "line").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tkey") == F.col("d_key")))
+    rows = rows.select("did", "pos", "words", "copies", F.col("new").alias("rank")).dropDuplicates(["did", "pos"])  # rows that repeat a document count once
+    own, before = W.partitionBy(*DOC).orderBy("pos"), F.lag(F.struct("pos", "rank"))
+    rows = rows.withColumn("b", before.over(own)).withColumn("before", F.when(F.col("b.pos") == F.col("pos") - 1, F.col("b.rank"))).drop("b")
+    rows = written(rows.withColumn("hist", F.array("rank")), "lines")
+    n, width = rows.count(), 1
+    while True:
+        # where all `width` lines from here are repeated ones, the place `width` lines on is `width` rows on; a suffix with another line is unique already
+        ahead = F.lead(F.struct("pos", "rank"), width).over(own)
+        pairs = rows.withColumn("a", ahead).withColumn("there", F.coalesce(F.col("a.pos") == F.col("pos") + width, F.lit(False)))
+        pairs = pairs.withColumn("h", F.when(F.col("there"), F.col("a.rank")).otherwise(-F.col("did"))).withColumn("g", F.when(F.col("there"), F.lit(-1)).otherwise(F.col("pos"))).drop("a", "there")
+        pairs = written(pairs, "pairs")
+        order = _ordered(pairs.select("rank", "h", "g").distinct(), "rank", "h", "g")
+        last = order.count() == n
+        rows = pairs.join(order, ["rank", "h", "g"]).drop("rank", "h", "g").withColumnRenamed("new", "rank")
+        if last:
+            return row_numbers(rows, "rank", name="sa").drop("rank")
+        rows, width = written(rows.withColumn("hist", F.concat("hist", F.array("rank"))), "doubled"), 2 * width
+
+
+def _shared(a: Column, b: Column, most: Column | None = None) -> Column:
+    """Number of widths, of the first `most`, at which two suffixes have equal ranks: they share 2^(that less 1) lines, if any."""
+    n = F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x), F.lit(0))
+    return n if most is None else F.least(n, most)
+
+
+def with_lcp(array: DataFrame) -> DataFrame:
+    """suffixes() with lcp, the lines that a suffix shares with the one before it in the array, and next_lcp, with the one after it."""
+    back = array.select((F.col("sa") + 1).alias("sa"), F.col("did").alias("p_did"), F.col("pos").alias("p_pos"), F.col("before").alias("p_before"), F.col("hist").alias("p_hist"))
+    pairs = array.join(back, "sa").withColumn("k", _shared(F.col("hist"), F.col("p_hist")))
+    same = F.coalesce(F.col("before") == F.col("p_before"), F.lit(False))
+    step = lambda k: F.when(k > 0, F.expr("shiftleft(1, k - 1)")).otherwise(0)
+    pairs = written(pairs.where(~same & (F.col("k") > 0)).select("did", "pos", "p_did", "p_pos", step(F.col("k")).alias("lcp"), "k"), "irreducible")
+    found, todo = pairs.where("k < 2").select("did", "pos", "lcp"), pairs.where("k > 1")
+    there = array.select(F.col("did").alias("x"), F.col("pos").alias("y"), "hist")
+    while not todo.isEmpty():
+        one = todo.join(there, (F.col("did") == F.col("x")) & (F.col("pos") + F.col("lcp") == F.col("y")), "left").drop("x", "y").withColumnRenamed("hist", "hist1")
+        two = one.join(there, (F.col("p_did") == F.col("x")) & (F.col("p_pos") + F.col("lcp") == F.col("y")), "left")
+        two = two.withColumn("k", _shared(F.col("hist1"), F.col("hist"), F.col("k") - 1)).withColumn("lcp", F.col("lcp") + step(F.col("k")))
+        two = written(two.select("did", "pos", "p_did", "p_pos", "lcp", "k"), "longer")
+        found, todo = found.unionByName(two.where("k < 2").select("did", "pos", "lcp")), two.where("k > 1")
+    rows = array.drop("hist").join(found, ["did", "pos"], "left")
+    first = array.select("sa", "before").join(back.select("sa", "p_before"), "sa", "left").select("sa", F.coalesce(F.col("before") == F.col("p_before"), F.lit(False)).alias("reducible"))
+    rows = rows.join(first, "sa").withColumn("end", F.when(~F.col("reducible"), F.coalesce("lcp", F.lit(0)) + F.col("pos")))
+    upto = W.partitionBy(*DOC).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = written(rows.withColumn("lcp", F.greatest(F.lit(0), F.last("end", ignorenulls=True).over(upto) - F.col("pos")).cast("int")).drop("end", "reducible"), "lcp")
+    after = rows.select((F.col("sa") - 1).alias("sa"), F.col("lcp").alias("next_lcp"))
+    return rows.join(after, "sa", "left").withColumn("next_lcp", F.coalesce("next_lcp", F.lit(0)))
 
 
 def removed_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
-    """(doc_id, tkey, runs): disjoint [first, end) line runs of each document to delete."""
-    place, spans = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "pos"), None
-    for width, rows in repeated_windows(docs, min_lines):
-        rows = rows if width >= min_lines else rows.where(F.col("words") >= min_words)
-        first = written(rows.groupBy("rank").agg(F.min(place).alias("first")), "first")  # read back, so that the join can split a hot rank
-        f = F.col("first")
-        own = F.col("doc_id").eqNullSafe(f["doc_id"]) & (F.col("tkey") == f["tkey"])
-        later = rows.join(first, "rank").where(~(own & (F.col("pos") == f["pos"])))
+    """(doc_id, tkey, runs): disjoint [first, end) line runs of each document to delete, with longest, the most lines that a suffix in the run
+    shares with another one, and copies, the most documents' places that share lines of it."""
+    standing, others = documents(docs, min_lines)
+    widths = [2**i for i in range(min_lines.bit_length()) if 2**i < min_lines] + [min_lines]
+    array = with_lcp(suffixes(docs, standing))
+    own = W.partitionBy(*DOC).orderBy("pos")
+    cols = [F.sum("words").over(own.rowsBetween(0, w - 1)).alias(f"words{w}") for w in widths[:-1]]
+    array = array.select("did", "pos", "copies", "sa", F.greatest("lcp", "next_lcp").alias("longest"), *cols, *((F.col("lcp") < w).cast("long").alias(f"new{w}") for w in widths))
+    rows, spans = written(prefix_sums(array, {f"new{w}": f"interval{w}" for w in widths}, ["sa"]), "intervals"), None
+    for w in widths:
+        some = rows.where(F.col("longest") >= w)
+        some = some if w >= min_lines else some.where(F.col(f"words{w}") >= min_words)
+        some = some.withColumnRenamed(f"interval{w}", "interval").select("did", "pos", "copies", "longest", "interval")
+        first = some.groupBy("interval").agg(F.min(F.struct("did", "pos")).alias("f"), F.sum("copies").alias("all"))
+        later = some.join(written(first, "first"), "interval").where(F.struct("did", "pos") != F.col("f"))  # first was read back, so that the join can split a hot interval
         # a later copy that overlaps the first one in its own document loses only what lies beyond it
-        start = F.when(own, F.greatest(F.col("pos"), f["pos"] + width)).otherwise(F.col("pos"))
-        found = later.select(*DOC, start.alias("a"), (F.col("pos") + width).alias("b")).where("a < b")
+        start = F.when(F.col("did") == F.col("f.did"), F.greatest(F.col("pos"), F.col("f.pos") + w)).otherwise(F.col("pos"))
+        found = later.select("did", start.alias("a"), (F.col("pos") + w).alias("b"), "longest", "all").where("a < b")
         spans = found if spans is None else spans.unionByName(found)
-    w = W.partitionBy(*DOC).orderBy("a", "b")
-    spans = spans.withColumn("reach", F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    spans = spans.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(w))
-    runs = spans.groupBy(*DOC, "run").agg(F.min("a").alias("first"), F.max("b").alias("end"))
-    return runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("runs"))
+    by = W.partitionBy(*DOC).orderBy("a", "b")
+    spans = spans.withColumn("reach", F.max("b").over(by.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(by))
+    runs = spans.groupBy(*DOC, "run").agg(F.min("a").alias("first"), F.max("b").alias("end"), F.max("longest").alias("longest"), F.max("all").alias("copies"))
+    runs = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "end", "longest", "copies"))).alias("runs"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("end"), F.col("n").alias("longest"), F.lit(None).cast("long").alias("copies")))
+    return standing.join(runs, DOC).select("doc_id", "tkey", "runs").unionByName(others.select("doc_id", "tkey", whole.alias("runs")))
 
 
 def _kept_lines(lines: Column, runs: Column) -> Column:
     """lines without the runs: the slices between them."""
-    n = F.size(lines)
+    n, runs = F.size(lines), F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["end"].alias("end")))
     bounds = F.concat(F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"))), runs, F.array(F.struct(n.alias("first"), n.alias("end"))))
     gaps = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.slice(lines, F.element_at(bounds, i)["end"] + 1, F.element_at(bounds, i + 1)["first"] - F.element_at(bounds, i)["end"]))
     return F.flatten(gaps)
 
 
 def deduplicated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
-    """doc_id, text without the deleted runs, n_lines, n_removed, runs (array of first, end) for every row of docs.
+    """doc_id, text without the deleted runs, n_lines, n_removed, runs (array of first, end, longest, copies) for every row of docs.
 
     Documents stand in the order of doc_id, nulls last, then of the text's digest. Runs of min_lines equal lines or more, and of 1, 2, 4 .. lines with min_words
     words or more, are deleted wherever they occur again; shorter repeats stay. A null text has no lines and stays null; an empty text is one empty line. Rows that repeat a doc_id and text are one document and get
-    equal answers. An empty table gives no rows."""
+    equal answers. A text of any length is read as a whole. An empty table gives no rows. Other columns, whatever their names, are not read."""
     runs = removed_runs(docs, min_lines, min_words).alias("r")
     d = _keyed(docs.select("doc_id", "text")).alias("d")
     got = d.join(runs, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tkey") == F.col("r.tkey")), "left").select("d.doc_id", "d.text", "r.runs")
