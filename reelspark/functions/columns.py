@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,11 +28,19 @@ def hash_int(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once a row, however often f or lambdas in it refer to it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(logits: Column) -> Column:
-    """Stable softmax of an array. P20."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    """Stable softmax of an array. P20. The maximum and the sum are taken once a row."""
+
+    def with_total(e: Column) -> Column:
+        return F.struct(e.alias("v"), F.aggregate(e, F.lit(0.0), lambda s, y: s + y).alias("by"))
+
+    e = once(F.struct(logits.alias("v"), F.array_max(logits).alias("by")), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["by"])))
+    return once(once(e, with_total), lambda s: F.transform(s["v"], lambda x: x / s["by"]))
 
 
 def argmax(values: Column) -> Column:
@@ -51,8 +60,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero. P23."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
+    normed = F.struct(v.alias("v"), F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)).alias("by"))
+    return once(normed, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["by"]))
 
 
 def erfc(x: Column | str) -> Column:

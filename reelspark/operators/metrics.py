@@ -201,11 +201,10 @@ def spearman(df: DataFrame, y: str = "y", pred: str = "pred", by: By = ()) -> Da
 def draws(df: DataFrame, replicates: int, seed: int = 42, key: str = "row") -> DataFrame:
     """(replicate, row, weight): how often each row 1 .. n is drawn in each bootstrap replicate of n draws. A17.
 
-    A draw is a portable hash of (seed, replicate, draw number); all metrics share the table."""
-    n = df.agg(F.max(key).alias("n"))
-    every = df.sparkSession.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(n))
-    every = every.select("replicate", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("draw"))
-    return every.groupBy("replicate", (F.pmod(hash_int(seed, F.col("replicate"), F.col("draw")), F.col("n")) + 1).alias(key)).agg(F.count("*").alias("weight"))
+    A draw is a portable hash of (seed, replicate, draw number); all metrics share the table. It makes replicates * n draws: poisson_draws() is for large tables."""
+    n = df.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("n")).first().n
+    every = df.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(1, n)).alias("replicate"), (F.pmod("id", F.lit(max(1, n))) + 1).alias("draw"))
+    return every.groupBy("replicate", (F.pmod(hash_int(seed, F.col("replicate"), F.col("draw")), F.lit(n)) + 1).alias(key)).agg(F.count("*").alias("weight"))
 
 
 def poisson_draws(df: DataFrame, replicates: int, seed: int = 42, key: str = "row") -> DataFrame:

@@ -1,45 +1,80 @@
 """Nearest neighbours and the quality of an embedding space.
 
-Vectors are dealt to B blocks. Pairs of blocks are multiplied as matrices; a block pair gives back each
-query's best k of the block, or partial sums, and never its pairs. B grows with the number of rows, so a task holds two blocks of
+Vectors are dealt to B blocks, a row each. Pairs of blocks are multiplied as matrices; a block pair gives back each
+query's best k of the block, or partial sums, and never all its pairs. B grows with the number of rows, so a task holds two blocks of
 BLOCK_ROWS vectors whatever the table's size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reelspark.functions.columns import dot, l2_normalize
+from reelspark.functions.columns import l2_normalize
+from reelspark.sources.work import written
 
 BLOCK_ROWS = 4_000
 
 
-def pairwise_similarity(df: DataFrame, upper: bool = False, key: str = "id", col: str = "embedding") -> DataFrame:
-    """(a, b, sim) of all pairs of different ids, or of a < b only. J8: its result is quadratic; the operators below don't make it."""
-    a, b = df.select(F.col(key).alias("a"), F.col(col).alias("x")), df.select(F.col(key).alias("b"), F.col(col).alias("y"))
-    return a.join(b, F.col("a") < F.col("b") if upper else F.col("a") != F.col("b")).select("a", "b", dot(F.col("x"), F.col("y")).alias("sim"))
+def _blocks(df: DataFrame, key: str, col: str) -> tuple[int, DataFrame]:
+    """(number of blocks, (blk, ids, v, dim)): the rows of a block packed into one, whole-number ids and vectors as bytes."""
+    n = max(1, math.ceil(df.count() / BLOCK_ROWS))
+    own = df.select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("blk")).where("v is not null")
 
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(part.v.to_numpy()).astype(float)
+        return pd.DataFrame({"blk": part.blk.iloc[:1], "ids": [part.id.to_numpy(np.int64).tobytes()], "v": [x.tobytes()], "dim": [x.shape[1]]})
 
-def _block_pairs(df: DataFrame, key: str, col: str, symmetric: bool) -> DataFrame:
-    """(q, c, side, id, v): each block's rows once for each block pair it is in."""
-    n = max(1, math.ceil(df.count() / BLOCK_ROWS))
-    own = df.select(F.col(key).alias("id"), F.col(col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("blk")).where("v is not null")
+    return n, written(own.groupBy("blk").applyInPandas(pack, "blk int, ids binary, v binary, dim int"), "blocks")
+
+
+Products = Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+
+
+def _by_block_pairs(df: DataFrame, key: str, col: str, symmetric: bool, f: Products, schema: str) -> DataFrame:
+    """f(q, c, ids of q, ids of c, products) of every pair of blocks, or of q <= c only; a task holds one pair at a time."""
+    n, blocks = _blocks(df, key, col)
     others = F.sequence(F.lit(0), F.lit(n - 1))
-    left = own.select(F.col("blk").alias("q"), F.explode(F.filter(others, lambda c: c >= F.col("blk")) if symmetric else others).alias("c"), F.lit(0).alias("side"), "id", "v")
-    right = own.select(F.explode(F.filter(others, lambda q: q <= F.col("blk")) if symmetric else others).alias("q"), F.col("blk").alias("c"), F.lit(1).alias("side"), "id", "v")
-    return left.unionByName(right)
+    own = F.col("blk")
+    left = blocks.select(own.alias("q"), F.explode(F.filter(others, lambda c: c >= own) if symmetric else others).alias("c"), F.col("ids").alias("qi"), F.col("v").alias("qv"), "dim")
+    right = blocks.select(F.explode(F.filter(others, lambda q: q <= own) if symmetric else others).alias("q"), own.alias("c"), F.col("ids").alias("ci"), F.col("v").alias("cv"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
+                x, y = (np.frombuffer(v, float).reshape(-1, r.dim) for v in (r.qv, r.cv))
+                yield f(r.q, r.c, np.frombuffer(r.qi, np.int64), np.frombuffer(r.ci, np.int64), x @ y.T)
+
+    return left.join(right, ["q", "c"]).mapInPandas(run, schema)
+
+
+def pairwise_similarity(df: DataFrame, least: float, upper: bool = False, key: str = "id", col: str = "embedding") -> DataFrame:
+    """(a, b, sim) of the pairs of different ids, or of a < b only, with a similarity of `least` or more. J8: for -1 the result is quadratic."""
+
+    def pairs(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero((s >= least) & (qi[:, None] < ci[None, :] if upper else qi[:, None] != ci[None, :]))
+        return pd.DataFrame({"a": qi[i], "b": ci[j], "sim": s[i, j]})
+
+    return _by_block_pairs(df, key, col, False, pairs, "a long, b long, sim double")
+
 
+def similarity_rows(df: DataFrame, key: str = "id", col: str = "embedding") -> DataFrame:
+    """(a, n, total, best): number, sum and maximum of each row's similarities to the rows of larger ids. J8 without its pairs."""
 
-def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    one, two = part[part.side == 0], part[part.side == 1]
-    stack = lambda p: np.stack(p.v.to_numpy()).astype(float) if len(p) else np.zeros((0, 1))
-    return one.id.to_numpy(), stack(one), two.id.to_numpy(), stack(two)
+    def sums(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        out = []
+        for ids, m, t in ((qi, qi[:, None] < ci[None, :], s), (ci, ci[:, None] < qi[None, :], s.T))[: 1 + (q != c)]:
+            part = pd.DataFrame({"a": ids, "n": m.sum(axis=1), "total": np.where(m, t, 0.0).sum(axis=1), "best": np.where(m, t, -np.inf).max(axis=1, initial=-np.inf)})
+            out.append(part[part.n > 0])
+        return pd.concat(out)
+
+    parts = _by_block_pairs(df, key, col, True, sums, "a long, n long, total double, best double")
+    return parts.groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
 
 
 def knn(df: DataFrame, k: int, key: str = "id", col: str = "embedding", digits: int | None = None) -> DataFrame:
@@ -47,11 +82,7 @@ def knn(df: DataFrame, k: int, key: str = "id", col: str = "embedding", digits:
 
     k is cut to the number of other rows. Ids are whole numbers."""
 
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        qi, q, ci, c = _sides(part)
-        if not len(qi) or not len(ci):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        s = q @ c.T
+    def best(_q: int, _c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
         s = np.round(s, digits) if digits is not None else s
         s[qi[:, None] == ci[None, :]] = -np.inf
         order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
@@ -59,51 +90,52 @@ def knn(df: DataFrame, k: int, key: str = "id", col: str = "embedding", digits:
         out = pd.DataFrame({"id": np.repeat(qi, order.shape[1]), "neighbour": ci[order].ravel(), "sim": sim})
         return out[np.isfinite(sim)]
 
-    tops = _block_pairs(df, key, col, symmetric=False).groupBy("q", "c").applyInPandas(best, "id long, neighbour long, sim double")
+    tops = _by_block_pairs(df, key, col, False, best, "id long, neighbour long, sim double")
     w = W.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
     return tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_sums(df: DataFrame, key: str = "id", col: str = "embedding") -> DataFrame:
-    """One row over pairs a < b: n, mean, std (sample), min, max, and usum, the sum of exp(-2 (2 - 2 sim))."""
+def _distribution(df: DataFrame, key: str, col: str, bins: int = 0, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
+    """One pass over the pairs a < b: in bin 0 their number, sum, sum of squares, ends, and sum of exp(-2 (2 - 2 sim)); in bins from 1 on the
+    numbers of the similarities in equal bins of [lo, hi], what lies outside in the end bins."""
 
-    def part(p: pd.DataFrame) -> pd.DataFrame:
-        qi, q, ci, c = _sides(p)
-        s = (q @ c.T)[qi[:, None] < ci[None, :]] if p.q.iloc[0] == p.c.iloc[0] else (q @ c.T).ravel()
-        if not len(s):
-            return pd.DataFrame({"n": [0], "s": [0.0], "ss": [0.0], "lo": [np.inf], "hi": [-np.inf], "u": [0.0]})
-        return pd.DataFrame({"n": [len(s)], "s": [s.sum()], "ss": [(s * s).sum()], "lo": [s.min()], "hi": [s.max()], "u": [np.exp(-2 * (2 - 2 * s)).sum()]})
+    def part(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        s = s[qi[:, None] < ci[None, :]] if q == c else s.ravel()
+        out = pd.DataFrame({"bin": [0], "n": [len(s)], "s": [s.sum()], "ss": [(s * s).sum()], "lo": [s.min(initial=np.inf)], "hi": [s.max(initial=-np.inf)], "u": [np.exp(-2 * (2 - 2 * s)).sum()]})
+        if not bins:
+            return out
+        n = np.bincount(np.clip(np.floor((s - lo) / (hi - lo) * bins), 0, bins - 1).astype(int), minlength=bins)
+        at = np.flatnonzero(n)
+        return pd.concat([out, pd.DataFrame({"bin": at + 1, "n": n[at], "s": 0.0, "ss": 0.0, "lo": 0.0, "hi": 0.0, "u": 0.0})])
 
-    parts = _block_pairs(df, key, col, symmetric=True).groupBy("q", "c").applyInPandas(part, "n long, s double, ss double, lo double, hi double, u double")
-    t = parts.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("u").alias("usum"))
+    parts = _by_block_pairs(df, key, col, True, part, "bin int, n long, s double, ss double, lo double, hi double, u double")
+    return parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("u").alias("usum"))
+
+
+def _sums(distribution: DataFrame) -> DataFrame:
     var = F.greatest(F.lit(0.0), F.col("ss") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1)
-    return t.select("n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(var)).alias("std"), "min", "max", "usum")
+    return distribution.where("bin = 0").select("n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(var)).alias("std"), "min", "max", "usum")
 
 
-def similarity_histogram(df: DataFrame, bins: int, lo: float, hi: float, key: str = "id", col: str = "embedding") -> DataFrame:
-    """(bin from 1, n) of the similarities of pairs a < b over equal bins of [lo, hi]; what lies outside counts in the end bins."""
+def similarity_sums(df: DataFrame, key: str = "id", col: str = "embedding") -> DataFrame:
+    """One row over pairs a < b: n, mean, std (sample), min, max, and usum, the sum of exp(-2 (2 - 2 sim))."""
+    return _sums(_distribution(df, key, col))
 
-    def part(p: pd.DataFrame) -> pd.DataFrame:
-        qi, q, ci, c = _sides(p)
-        s = (q @ c.T)[qi[:, None] < ci[None, :]] if p.q.iloc[0] == p.c.iloc[0] else (q @ c.T).ravel()
-        b = np.clip(np.floor((s - lo) / (hi - lo) * bins), 0, bins - 1).astype(int)
-        n = np.bincount(b, minlength=bins)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"bin": at + 1, "n": n[at]})
 
-    return _block_pairs(df, key, col, symmetric=True).groupBy("q", "c").applyInPandas(part, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+def similarity_histogram(df: DataFrame, bins: int, lo: float, hi: float, key: str = "id", col: str = "embedding") -> DataFrame:
+    """(bin from 1, n) of the similarities of pairs a < b over equal bins of [lo, hi]; what lies outside counts in the end bins."""
+    return _distribution(df, key, col, bins, lo, hi).where("bin > 0").select("bin", "n")
 
 
 def similarity_stats(df: DataFrame, key: str = "id", col: str = "embedding", precision: float = 1e-4) -> DataFrame:
     """mean, sample std, min, max and lower median of the similarities of distinct pairs of unit vectors. A19.
 
-    The median is that of similarities rounded down to `precision`, by a histogram of their whole range."""
-    sums = similarity_sums(df, key, col)
-    h = similarity_histogram(df, round(2 / precision), -1.0, 1.0, key, col)  # at most 2 / precision rows
+    The median is that of similarities rounded down to `precision`, by a histogram of their whole range, made in the same pass."""
+    both = written(_distribution(df, key, col, round(2 / precision)), "similarities")  # at most 2 / precision rows
     upto = F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
     half = F.sum("n").over(W.partitionBy(F.lit(1)))
-    median = h.withColumn("upto", upto).withColumn("all", half).where(F.col("upto") * 2 >= F.col("all")).agg(F.min("bin").alias("b")).select((F.lit(-1.0) + (F.col("b") - 1) * precision).alias("median"))
-    return sums.select("mean", "std", "min", "max").crossJoin(F.broadcast(median))
+    median = both.where("bin > 0").withColumn("upto", upto).withColumn("all", half).where(F.col("upto") * 2 >= F.col("all")).agg(F.min("bin").alias("b")).select((F.lit(-1.0) + (F.col("b") - 1) * precision).alias("median"))
+    return _sums(both).select("mean", "std", "min", "max").crossJoin(F.broadcast(median))
 
 
 def uniformity(df: DataFrame, key: str = "id", col: str = "embedding", diagonal: bool = True) -> DataFrame:

@@ -51,7 +51,8 @@ def clip_plan(df: DataFrame, n: int, stride: int = 1, mode: str = "center", seed
     t = _long(F.col(frames))
     if mode == "center":
         start = F.greatest(F.lit(0).cast("long"), F.floor((t - n) / 2))
-        idx = F.transform(_sequence(F.lit(n)), lambda i: F.least(start + i, t - 1))
+        own = F.sequence(start, F.greatest(start, F.least(start + n, t) - 1))
+        idx = F.when(t >= n, own).otherwise(F.concat(own, F.array_repeat(t - 1, (F.lit(n) - t).cast("int"))))
         out = df.withColumn("clip", F.lit(0)).withColumn("empty", t < 1)
         if short == "drop":
             return out.where(t >= n).withColumn("clip_idx", idx)
@@ -59,7 +60,7 @@ def clip_plan(df: DataFrame, n: int, stride: int = 1, mode: str = "center", seed
     out = df.withColumn("clip", F.explode(F.sequence(F.lit(0), F.lit(clips - 1))))
     room = t - n * stride
     start = F.pmod(hash_int(seed, F.col(key), F.col("clip")), F.greatest(room, F.lit(0)) + 1) if mode == "random" else F.lit(0).cast("long")
-    whole = F.transform(_sequence(F.lit(n)), lambda i: start + i * stride)
+    whole = F.sequence(start, start + (n - 1) * stride, F.lit(stride).cast("long"))
     if short == "drop":
         return out.where(room >= 0).withColumn("clip_idx", whole)
     other = F.transform(_sequence(F.lit(n)), lambda i: F.pmod(i * stride, F.greatest(t, F.lit(1)))) if short == "tile" else _linspace(t, n)
@@ -77,7 +78,7 @@ def sliding_windows(df: DataFrame, window: int, stride: int, frames: str = "n_fr
     last = t - window
     starts = F.array_union(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)), F.lit(stride).cast("long")), F.array(F.greatest(last, F.lit(0).cast("long"))))
     out = df.where(t > 0).withColumn("start", F.explode(F.when(last >= 0, starts).otherwise(F.array(F.lit(0).cast("long")))))
-    idx = F.transform(_sequence(F.lit(window)), lambda i: F.col("start") + i)
+    idx = F.sequence(F.col("start"), F.col("start") + (window - 1))
     return out.withColumn("window_idx", F.when(last >= 0, idx).otherwise(_linspace(t, window)))
 
 

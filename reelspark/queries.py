@@ -317,8 +317,7 @@ def _(s, d):
 
 @query("j08_pairwise_similarity", f"WITH {VEC}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.e, b.e) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT a, count(*) AS n, round(sum(sim), 4) AS total, round(max(sim), 6) AS best FROM s GROUP BY a")
 def _(s, d):
-    p = retrieval.pairwise_similarity(units(s, d), True, "vec_id")
-    return p.groupBy("a").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 4).alias("total"), r6(F.max("sim"), "best"))
+    return retrieval.similarity_rows(units(s, d), "vec_id").select("a", "n", F.round("total", 4).alias("total"), r6("best"))
 
 
 @query("j09_missing_ids", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -819,6 +818,15 @@ def _(s, d):
     return probes.grid_probe(split.where("split = 'train'"), split.where("split = 'val'"), (0.1, 1.0, 10.0), "regression")[1]
 
 
+@query("m04_grid_heads")
+def _(s, d):
+    from reelspark.operators import probes
+
+    e = table(s, d, "embeddings").withColumn("target", (C("label") % 3).cast("int"))
+    split = splits.hash_split(e, 0.3, 1, "vec_id")
+    return probes.grid_heads(split.where("split = 'train'"), split.where("split = 'val'"), (0.01, 0.1), (0.0, 0.01), 8)[1]
+
+
 @query("m05_run_task")
 def _(s, d):
     from reelspark.operators import probes
@@ -849,12 +857,17 @@ def _(s, d):
     return probes.vote_clips(table(s, d, "lineitem").withColumnRenamed("l_orderkey", "id"), "id", "l_discount", 4.0, 2.5).select("id", r6("l_discount", "pred"))
 
 
+@query("e2_retrieval", """WITH t AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id // 10 ORDER BY label DESC NULLS LAST, vec_id) <= 4),
+    u AS (SELECT vec_id, label, list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) AS e FROM t), s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, round(list_inner_product(a.e, b.e), 9) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+    kn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbour) AS rank FROM s QUALIFY rank <= 10), q AS (SELECT vec_id AS id, label FROM t WHERE label IN (SELECT label FROM t GROUP BY label HAVING count(*) > 1)),
+    h AS (SELECT q.id, rank, (q.label = t.label)::INT AS hit FROM kn JOIN q USING (id) JOIN t ON t.vec_id = neighbour), f AS (SELECT id, k, max(CASE WHEN rank <= k THEN hit ELSE 0 END) AS r, sum(CASE WHEN rank <= k THEN hit ELSE 0 END) / k AS p FROM h, (VALUES (1), (5), (10)) v(k) GROUP BY id, k)
+    SELECT k, round(avg(r), 6) AS recall, round(avg(p), 6) AS precision FROM f GROUP BY k""")
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Embeddings -> top items of a study -> unit vectors -> neighbours -> recall and precision at k."""
-    e = table(s, d, "embeddings").withColumn("study", C("vec_id") % 97)
-    top = ranks.top_items(e, "study", "label", "vec_id", 4)
-    nn = retrieval.knn(retrieval.unit(top), 10, "vec_id")
-    return retrieval.retrieval_at_k(nn, top.withColumnRenamed("vec_id", "id"), (1, 5, 10))
+    """Embeddings -> top items of a study, ten vectors each -> unit vectors -> neighbours -> recall and precision at k."""
+    e = table(s, d, "embeddings").withColumn("study", F.floor(C("vec_id") / 10))
+    top = written(ranks.top_items(e, "study", "label", "vec_id", 4).select("vec_id", "label", "embedding"), "top")
+    nn = retrieval.knn(retrieval.unit(top), 10, "vec_id", digits=9)
+    return retrieval.retrieval_at_k(nn, top.withColumnRenamed("vec_id", "id"), (1, 5, 10)).select("k", r6("recall"), r6("precision"))
 
 
-QUERIES["e2_retrieval"] = flagship
+from reelspark import file_queries  # noqa: E402, F401  (registers the queries of files and streams)

@@ -21,7 +21,9 @@ MANIFEST_SCHEMA = "dicom_uuid string, study_uuid string, disk_path string, view
 
 
 def read_annotations(spark: SparkSession, path: str, fields: Sequence[str] = STUDY_FIELDS, items: tuple[str, str, str] = ("dicoms", "dicom_uuid", "type"), studies: tuple[str, str] = ("studies", "study_uuid")) -> tuple[DataFrame, DataFrame]:
-    """(items, studies) of an annotation document: missing fields are null, lists and objects JSON text, the first row of a key wins. S1."""
+    """(items, studies) of an annotation document: missing fields are null, lists and objects JSON text, the first row of a key wins. S1.
+
+    A document is one JSON value, so one task reads it: split large ones into several files."""
     text = T.MapType(T.StringType(), T.VariantType())
     schema = T.StructType([T.StructField(items[0], T.ArrayType(text)), T.StructField(studies[0], T.ArrayType(text))])
     doc = spark.read.schema(schema).json(path, multiLine=True)

@@ -48,7 +48,7 @@ def members(shards: DataFrame, on_error: str = "skip") -> DataFrame:
                         for i, m in enumerate(tar):
                             if m.isfile() and (k := split_name(m.name)):
                                 rows.append((uri, *k, m.offset_data, m.size, i))
-                except (tarfile.TarError, OSError, EOFError):
+                except (tarfile.TarError, EOFError):  # not OSError: a store that can't be reached is no broken shard
                     if on_error == "fail":
                         raise
                 cols = list(zip(*rows, strict=True)) or [[]] * 6

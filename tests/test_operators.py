@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reelspark.operators import joins, labels, metrics, ranks, splits
+from reelspark.functions.columns import l2_normalize, softmax
+from reelspark.operators import joins, labels, metrics, ranks, retrieval, splits
 from reelspark.plans import frames
 
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -137,3 +138,23 @@ def test_shards_hold_at_most_n(spark):
 def test_anti_join_keeps_null_keys(spark):
     df = spark.createDataFrame([(1,), (None,)], "id int")
     assert [r.id for r in joins.drop_ids(df, spark.createDataFrame([(1,), (None,)], "id int"), "id").collect()] == [None]
+
+
+def test_long_vectors(spark):
+    """Softmax and unit length take sums and maxima once a row: with 3,000 entries a sum an entry would take minutes."""
+    df = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: (i * (F.col("id") + 1) % 17 + 1).cast("double")).alias("v"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    r = df.select(total(softmax(F.col("v"))).alias("s"), total(F.transform(l2_normalize(F.col("v")), lambda x: x * x)).alias("q")).collect()
+    assert all(math.isclose(x.s, 1, rel_tol=1e-9) and math.isclose(x.q, 1, rel_tol=1e-9) for x in r)
+    for c in (softmax(F.col("v")), l2_normalize(F.col("v"))):  # one aggregate in the expression, and it is in no lambda over entries
+        text = str(df.select(c.alias("c"))._jdf.queryExecution().analyzed())
+        assert text.count("aggregate(") == 1
+
+
+def test_similar_pairs(spark):
+    rows = [(i, [float(i % 3), float(i % 2), 1.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    want = {(a, b): sum(x * y for x, y in zip(v, w, strict=True)) for a, v in rows for b, w in rows if a != b}
+    got = {(r.a, r.b): r.sim for r in retrieval.pairwise_similarity(df, 2.0).collect()}
+    assert got == {k: s for k, s in want.items() if s >= 2.0}
+    assert {(r.a, r.b) for r in retrieval.pairwise_similarity(df, -1.0, upper=True).collect()} == {k for k in want if k[0] < k[1]}

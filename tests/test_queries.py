@@ -96,6 +96,66 @@ def test_classifier_is_at_the_minimum(spark, sf):
     assert np.allclose([got[i] for i in ids.tolist()], 1 / (1 + np.exp(-(x @ w + b))), atol=1e-4)
 
 
+def test_grid_heads(spark, sf):
+    """The heads' best epochs and values, by the same training in plain numpy."""
+    rows = core.splits.hash_split(spark.read.parquet(f"{sf}/embeddings.parquet"), 0.3, 1, "vec_id").collect()
+    x, y, fit = np.array([[*r.embedding, 1.0] for r in rows], float), np.array([r.label % 3 for r in rows]), np.array([r.split == "train" for r in rows])
+    counts = np.bincount(y[fit]) + 1e-6
+    weight = (1 / counts) / (1 / counts).sum() * 3
+    want = []
+    for rate in (0.01, 0.1):
+        for decay in (0.0, 0.01):
+            w, m, v, best = np.zeros((x.shape[1], 3)), 0.0, 0.0, (0, -1.0)
+            for t in range(1, 9):
+                p = np.exp(x[fit] @ w)
+                p /= p.sum(axis=1, keepdims=True)
+                own = weight[y[fit]][:, None]
+                g = x[fit].T @ ((p - np.eye(3)[y[fit]]) * own) / own.sum()
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w - rate * ((m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + decay * w)
+                acc = float(((x[~fit] @ w).argmax(axis=1) == y[~fit]).mean())
+                best = (t, acc) if acc > best[1] else best
+            want.append((rate, decay, *best))
+    got = [(r.rate, r.decay, r.epoch, r.value) for r in core.QUERIES["m04_grid_heads"](spark, sf).orderBy("position").collect()]
+    assert all(a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_grid_probe_values(spark, sf):
+    """Validation errors of the ridge grid, by normal equations."""
+    rows = core.splits.hash_split(spark.read.parquet(f"{sf}/embeddings.parquet"), 0.3, 1, "vec_id").collect()
+    x, y, fit = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows], float), np.array([r.split == "train" for r in rows])
+    mx, my = x[fit].mean(axis=0), y[fit].mean()
+    c = x[fit] - mx
+    want = [np.abs((x[~fit] - mx) @ np.linalg.solve(c.T @ c + a * np.eye(x.shape[1]), c.T @ (y[fit] - my)) + my - y[~fit]).mean() for a in (0.1, 1.0, 10.0)]
+    got = [r.value for r in core.QUERIES["m04_grid_probe"](spark, sf).orderBy("position").collect()]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_run_task_values(spark, sf):
+    """Point values of the task's report, by normal equations on pooled and standardised vectors."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    study = np.array([r.vec_id % 97 for r in rows])
+    keys = np.unique(study)
+    x = np.stack([np.array([r.embedding for r in rows], float)[study == k].mean(axis=0) for k in keys])
+    y = np.array([np.array([r.label for r in rows], float)[study == k].mean() for k in keys])
+    fit, test = keys % 5 < 3, keys % 5 == 4
+    z = (x - x[fit].mean(axis=0)) / x[fit].std(axis=0)
+    mz, my = z[fit].mean(axis=0), y[fit].mean()
+    w = np.linalg.solve((z[fit] - mz).T @ (z[fit] - mz) + np.eye(z.shape[1]), (z[fit] - mz).T @ (y[fit] - my))
+    pred = (z[test] - mz) @ w + my
+    got = {r.metric: r.value for r in core.QUERIES["m05_run_task"](spark, sf).where("split = 'TEST'").collect()}
+    assert math.isclose(got["mae"], np.abs(pred - y[test]).mean(), rel_tol=1e-5) and math.isclose(got["rmse"], math.sqrt(((pred - y[test]) ** 2).mean()), rel_tol=1e-5)
+
+
+def test_embed_values(spark, sf):
+    """Mean byte counts of a conversation's texts."""
+    want = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        want.setdefault(r.conv_id, []).append(np.bincount(np.frombuffer(str(r.text).encode(), np.uint8) % 8, minlength=8))
+    got = {r.id: r.embedding for r in core.QUERIES["m06_embed"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], np.mean(v, axis=0), rtol=1e-5) for k, v in want.items())
+
+
 def test_runs(spark, sf):
     assert {r.split for r in core.QUERIES["m05_run_task"](spark, sf).collect()} == {"VAL", "TEST"}
     assert core.QUERIES["m04_grid_probe"](spark, sf).count() == 3
