@@ -203,8 +203,8 @@ def _with_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, ite
 def find(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), id_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The columns `keep` of every document, n_words, n_hit, n_items, items_sha256, contaminated, spans (array of [first, end) words).
 
-    Null and empty texts have no words and no hits; items without words have no windows; items of one id count once.
-    Repeated documents each get a row. An empty benchmark finds nothing."""
+    Null and empty texts have no words and no hits; a text of any length is followed as a whole. Items without words have no windows; items of one id count once.
+    Repeated documents each get a row; an empty table gives none. An empty benchmark finds nothing. Columns in `keep` may have any names that don't begin with __."""
     got = _with_spans(docs.select(*keep, F.col("text").cast("binary").alias("__text")), items, window, id_col, item_text)
     got = got.withColumn("n_hit", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]))
     return got.select(
@@ -215,7 +215,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, span: int = 10, coverage: float = 0.5) -> DataFrame:
     """docs with the words of found spans cut out of `text` where a span reaches `span` words or, together, spans cover
-    `coverage` of the document; documents of which no word is left go. Other columns stay."""
+    `coverage` of the document; documents of which no word is left go. Other columns stay, whatever their names. Rows, null, empty and long texts as in find(): without hits a row stays as it is."""
     names = docs.columns
     others = F.struct(*(c for c in names if c != "text"), F.lit(0).alias("never_empty")).alias("others")
     got = _with_spans(docs.select(others, F.col("text").cast("binary").alias("__text")), items, window, "item_id", "text")

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import few
+from reelspark.llm.common import few, written
 
 SLOTS = 1 << 18
 PIECE = 500_000  # code points handled at once
@@ -119,8 +119,11 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, close: float = 0.25, l
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
     grams = known.where(draw < share).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = grams.withColumn("rate", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
-    kept = rate.where(F.col("n") >= least).withColumn("top", F.max("rate").over(W.partitionBy("gram"))).where(F.col("rate") >= F.lit(close) * F.col("top"))
+    grams = written(grams, "grams")
+    every = F.broadcast(grams.groupBy("lang").agg(F.sum("n").alias("of")))  # a row a language
+    rate = grams.join(every, "lang").withColumn("rate", F.col("n") / F.col("of")).where(F.col("n") >= least)
+    top = rate.groupBy("gram").agg(F.max("rate").alias("top"))  # at most a row a language meets at a gram
+    kept = rate.join(top, "gram").where(F.col("rate") >= F.lit(close) * F.col("top"))
     number = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (k, i))), F.col("lang"))
     gram = F.col("gram")
     both = F.array(*(F.shiftrightunsigned(gram, s).bitwiseAND(F.lit(SLOTS - 1)) for s in (20, 42)))
@@ -137,14 +140,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` with lang_pred and score (share of the text's trigrams in that language's profile).
 
     `und` with score 0: null texts, texts without a letter, every text if nothing was learned. A text of unknown
-    trigrams gets the commonest language with score 0; ties go to the language that sorts first."""
+    trigrams gets the commonest language with score 0; ties go to the language that sorts first. A text of any length is read as a whole, PIECE code points'
+    worth of texts at a time. Repeated rows get equal answers; an empty table gives no rows; columns in `keep` may have any names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * 8 bytes for 64 languages
-    fields = docs.select(*keep).schema
+    fields, at = docs.select(*keep).schema, keep.index("text") if "text" in keep else -1  # a kept text goes to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in few(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at if at >= 0 else batch.num_columns - 1).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if m.languages:
                 for first, some in pieces(texts):
@@ -154,10 +158,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                         if k:
                             s = float(share[i, j])
                             langs[first + i], scores[first + i] = m.languages[j if s > 0 else m.usual], s
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            kept = batch.num_columns - (at < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:kept], "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(*keep, F.col("text").alias("__read")).mapInArrow(run, schema)
+    return docs.select(*keep, *([F.col("text").alias("__read")] if at < 0 else [])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

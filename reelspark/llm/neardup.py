@@ -15,15 +15,17 @@ So a bucket's pairs inside a component are never made, and no link between compo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import few, written
+from reelspark.operators.ranks import row_numbers
 
 BINS, ROWS = 200, 5
 BANDS = BINS // ROWS
@@ -31,7 +33,8 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 48) - 1)
 WORDS_KEPT = 100_000
-BROADCAST_IDS, LEFT, RIGHT = 500_000, 256, 1_000
+BROADCAST_IDS = 500_000
+BLOCK_ROWS, BLOCK_ITEMS = 256, 2_000_000  # sets, and shingles of them (8 bytes each), that a task holds of a side
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ def meeting(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> li
 
 
 def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """tasks (task, side, id): the linked pairs (a, b) between sides 0 and 1 of each task. A task has at most about LEFT and RIGHT rows."""
+    """tasks (task, side, id): the linked pairs (a, b) between sides 0 and 1 of each task. A side has about BLOCK_ROWS sets and BLOCK_ITEMS shingles at most, a longer set alone apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, sides = None, ([], [])
@@ -169,11 +172,16 @@ def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Tasks (task, side, id) that bring every left id of a group (g, id) together with every right id of it, in blocks by hash."""
+    """Tasks (task, side, id) that bring every left id of a group (g, id, n) together with every right id of it, in blocks by hash; n is the set's size."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    both = left.select("g", one.alias("l"), none.alias("r")).unionByName(right.select("g", none.alias("l"), one.alias("r")))
-    n = both.groupBy("g").agg(F.ceil(F.sum("l") / LEFT).alias("l"), F.ceil(F.sum("r") / RIGHT).alias("r")).where("l > 1 or r > 1")
-    n = written(n, "blocks")  # groups of several blocks: at most a row for each LEFT rows
+    both = left.select("g", one.alias("side"), "n").unionByName(right.select("g", none.alias("side"), "n"))
+
+    def blocks(side: int) -> Column:
+        own = F.col("side") == side
+        return F.greatest(F.ceil(F.count_if(own) / BLOCK_ROWS), F.ceil(F.sum(F.when(own, F.col("n")).otherwise(0)) / BLOCK_ITEMS))
+
+    n = both.groupBy("g").agg(blocks(1).alias("l"), blocks(0).alias("r")).where("l > 1 or r > 1")
+    n = written(n, "blocks")  # groups of several blocks
     n = F.broadcast(n) if n.count() <= BROADCAST_IDS else n
     block = F.xxhash64("id")
 
@@ -192,8 +200,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = near.join(least, "u")
+        least = written(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        moved = near.join(least, "u")  # least was read back, so that the join can split a hot root
         moved = moved.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")) if large else moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
         moved = moved.where("a < b")
         return moved if large else moved.distinct()
@@ -214,29 +222,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """A row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (it is that document).
 
     A document of fewer than k words has its word sequence as its one shingle; null, empty and blank texts have none, link with nothing and are
-    kept. Rows that repeat a doc_id and text get equal answers. A null doc_id takes no part and is kept, with no component. An empty table gives no rows."""
+    kept. A text of any length is read as a whole. Rows of one doc_id are one document with the links of all their texts. A null doc_id takes no part and is
+    kept, with no component. An empty table gives no rows. Other columns, whatever their names, are not read."""
     own = written(sketched(docs, k), "sketches")
     real = own.where("sig is not null and doc_id is not null")
     # a class's rows agree in n and bands
     classes = written(real.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("sig", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("h"))
-    hubs = rows.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    rows = classes.select("rep", "n", F.explode("bands").alias("h"))
+    hubs = rows.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("x"), F.count("*").alias("c")).where("c > 1").select("h", F.col("x.rep").alias("hub"), F.col("x.n").alias("hub_n"))
     hubs = written(hubs, "hubs")  # read back, so that the join can split the rows of a hot bucket
     shared = written(rows.join(hubs, "h"), "buckets")
     sets = shingle_sets(docs, shared.select(F.col("rep").alias("id")).distinct(), k)
     # first each bucket's members against its least one
-    pairs = shared.where("hub < rep").select(F.col("hub").alias("g"), F.col("rep").alias("id")).distinct()
-    edges = written(linked(in_blocks(pairs.select("g", F.col("g").alias("id")).distinct(), pairs), sets, percent), "edges")
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent  # sets of other sizes can't be linked
+    pairs = shared.where("hub < rep").where(near).select(F.col("hub").alias("g"), F.col("rep").alias("id"), "n", "hub_n").distinct()
+    edges = written(linked(in_blocks(pairs.select("g", F.col("g").alias("id"), F.col("hub_n").alias("n")).distinct(), pairs.drop("hub_n")), sets, percent), "edges")
     stars = components(edges, "stars")
     # then the members of other components than a bucket's main one (the largest) against all of the main one and each other
-    r = shared.join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("comp"))
+    r = shared.join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("root", "rep").alias("comp"))
     r = written(r, "members")
     sizes = r.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
     main = r.select("h", "comp").distinct().join(sizes, "comp").groupBy("h").agg(F.max(F.struct("size", (-F.col("comp")).alias("less"))).alias("x"), F.count("*").alias("comps")).where("comps > 1")
     main = written(main.select("h", (-F.col("x").getField("less")).alias("g")), "main")
-    others = written(r.join(main, "h").where("comp <> g").select("g", F.col("rep").alias("id")).distinct(), "others")
-    members = r.select(F.col("comp").alias("g"), F.col("rep").alias("id")).distinct().join(others.select("g").distinct(), "g", "left_semi")
-    more = linked(in_blocks(others, members.unionByName(others)), sets, percent)
+    others = written(r.join(main, "h").where("comp <> g").select("g", F.col("rep").alias("id"), "n").distinct(), "others")
+    members = r.select(F.col("comp").alias("g"), F.col("rep").alias("id"), "n").distinct().join(others.select("g").distinct(), "g", "left_semi")
+    # sets can be linked only in one size class or in neighbouring ones, as a class spans the widest ratio of linked sizes
+    size = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
+    classed = lambda t, c: t.withColumn("c", c).select(F.xxhash64("g", "c").alias("g"), "id", "n")
+    around = F.explode(F.array(size - 1, size, size + 1))
+    more = linked(in_blocks(classed(others, size), classed(members.unionByName(others), around)), sets, percent)
     roots = components(stars.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more), "components")
     ends = classes.select("sig", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))
     out = own.join(ends, "sig", "left")
@@ -245,6 +259,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are not kept."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of docs for each group of near duplicates, that of the least doc_id, with its columns.
+
+    Rows of one doc_id are told apart by their texts: of repeated rows one stays, and another text falls or stands by itself. Rows without doc_id,
+    and null, empty or blank texts, stay (of repeated ones with a doc_id, one). An empty table gives no rows; columns may have any names."""
+    keys = docs.where("doc_id is not null").groupBy("doc_id", F.md5(F.col("text").cast("binary")).alias("__tkey")).agg(F.count("*").alias("__n"))
+    keys = written(keys, "keys")
+    if keys.groupBy("doc_id").agg(F.sum("__n").alias("n")).where("n > 1").isEmpty():
+        gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    # some doc_id has several rows: distinct pairs of doc_id and text get numbers of their own, in the order of doc_id
+    ids = row_numbers(keys.select("doc_id", "__tkey"), "doc_id", F.col("__tkey").asc_nulls_first(), name="__row")
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("__tkey").alias("__key"), "__row")
+    own = docs.where("doc_id is not null").withColumn("__tkey", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__tkey"])
+    own = written(own.join(ids, (F.col("doc_id") == F.col("__id")) & F.col("__tkey").eqNullSafe(F.col("__key"))).drop("__id", "__key", "__tkey"), "rows")
+    gone = near_duplicates(own.select(F.col("__row").alias("doc_id"), "text"), k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+    left = own.join(gone, own["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
+    return left.unionByName(docs.where("doc_id is null"))

@@ -136,7 +136,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """Every row of docs with size, text_crc32, law, shard, slot and grown_shard, and the columns in `keep`.
 
     The largest shard is as small as equal texts in one shard allow. Null texts have size 1, no checksum, and form
-    one group; empty texts are ordinary. Repeated rows each get a slot; ties in doc_id stand in any order. An empty
+    one group; empty texts are ordinary, and a text of any length is one row of one shard. Repeated rows each get a slot; ties in doc_id stand in any order. An empty
     table gives an empty result. Other columns are left alone, whatever their names."""
     t = F.col(text_col)
     sized = written(docs.select(F.col(id_col).alias("doc_id"), text_key(t).alias("__key"), text_size(t).alias("__size"), F.crc32(t.cast("binary")).alias("__crc"), *(F.col(c).alias(f"k_{c}") for c in keep)), "sized")

@@ -2,7 +2,8 @@
 
 A change is a signed row: +1 for an inserted count, -1 for a deleted one; a revision is both. A batch is
 summed by source, language and tokenizer version and published under its batch id by one rename, so a
-batch that is sent again, or sent twice at once, counts once. Totals are the sums over the published batches.
+batch that is sent again, or sent twice at once, counts once. Totals are the sums over the published batches. The rename
+has to be atomic and to fail where the target is there, as on HDFS and local disks; plain object stores don't promise that.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def maintained(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -
     """The rollup over documents after three batches: all are loaded; later exact copies are deleted; counts of
     documents with repeated lines are revised to those of the text without them. The second batch is sent twice.
 
-    Null texts count as a document without tokens; null sources and languages are groups. Every row is a document of
+    Null and empty texts count as a document without tokens, and a text of any length is counted as a whole; null sources and languages are groups. Every row is a document of
     its own, whichever rows share its doc_id: old and revised counts are taken from the row. A null doc_id is no later copy. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     rollup = Rollup(spark, work_dir(spark, "rollup"))

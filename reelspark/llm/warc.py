@@ -10,6 +10,7 @@ attempt; only the packages that the written manifest lists are read.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import math
 import re
@@ -27,7 +28,8 @@ from reelspark.llm.common import few, work_dir, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES, READ_BYTES, TASK_BYTES = 256_000_000, 8_000_000, 16_000_000
-MIN_REVISIT = 100
+MIN_REVISIT, INDEX_LINES = 100, 10_000
+BROADCAST_DIGESTS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
@@ -39,7 +41,12 @@ def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     again = p.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = written(again, "again")  # read back, so that the join can split a hot payload
-    return p.join(again, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    # ids and digests alone are joined unless the few repeated payloads can be broadcast; the table's rows then get their answer by id and digest
+    if again.count() <= BROADCAST_DIGESTS:
+        return p.join(F.broadcast(again), "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    refers = p.select("page_id", "digest").where("page_id is not null").distinct().join(again, "digest").where(F.col("page_id") != F.col("first"))
+    refers = written(refers.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "first"), "refers")
+    return p.join(refers, (F.col("page_id") == F.col("id")) & (F.col("digest") == F.col("of")), "left").select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
@@ -57,17 +64,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse(raw: bytes) -> dict:
-    """A record's headers, HTTP header and payload."""
+    """A record's headers, HTTP header and payload. The digest and length of a response are those of the payload that was read; an error if its headers say otherwise."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
     number = lambda x: None if x is None or x == "<urn:x-page:None>" else int(x[len("<urn:x-page:") : -1])
-    url = fields.get("WARC-Target-URI")
+    url, said = fields.get("WARC-Target-URI"), fields["WARC-Payload-Digest"].partition(":")[2]
+    if fields["WARC-Type"] == "response" and (said, size) != (found := (hashlib.sha256(payload).hexdigest(), len(payload))):
+        raise ValueError(f"record {fields['WARC-Record-ID']} has a payload of {found}, its headers say {(said, size)}")
     return {
         "page_id": number(fields["WARC-Record-ID"]), "url": url and re.sub("%(..)", lambda m: chr(int(m[1], 16)), url), "record_type": fields["WARC-Type"],
-        "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload if fields["WARC-Type"] == "response" else None, "payload_bytes": size, "payload_digest": fields["WARC-Payload-Digest"].partition(":")[2],
+        "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload if fields["WARC-Type"] == "response" else None, "payload_bytes": size, "payload_digest": said,
     }
 
 
@@ -151,7 +160,7 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
 
 
 def index(packages: DataFrame) -> DataFrame:
-    """(path, offset, length) in the package of each record of each package in the manifest."""
+    """(path, offset, length, digest) in the package of each record of each package in the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +170,13 @@ def index(packages: DataFrame) -> DataFrame:
                     found = members(f, f.size())
                     (first, _), (at, n) = found[ARCHIVE], found[INDEX]
                     f.seek(at)
-                    lines = [json.loads(x.partition(" ")[2]) for x in f.read(n).decode().splitlines()]
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(lines), pa.string()), pa.array([first + x["offset"] for x in lines], pa.int64()), pa.array([x["length"] for x in lines], pa.int64())], ["path", "offset", "length"])
+                    lines = f.read(n).splitlines()
+                for i in range(0, len(lines), INDEX_LINES):
+                    part = [json.loads(x.partition(b" ")[2]) for x in lines[i : i + INDEX_LINES]]
+                    cols = [pa.array([uri] * len(part), pa.string()), pa.array([first + x["offset"] for x in part], pa.int64()), pa.array([x["length"] for x in part], pa.int64()), pa.array([x["digest"].partition(":")[2] for x in part], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, ["path", "offset", "length", "digest"])
 
-    return packages.select("path").mapInArrow(run, "path string, offset long, length long")
+    return packages.select("path").mapInArrow(run, "path string, offset long, length long, digest string")
 
 
 def read_records(packages: DataFrame) -> DataFrame:
@@ -181,7 +193,7 @@ def read_records(packages: DataFrame) -> DataFrame:
             todo = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             i = 0
             while i < len(todo):
-                uri, first, n = todo[i]
+                uri, first, n, _ = todo[i]
                 j, end = i + 1, first + n
                 while j < len(todo) and todo[j][0] == uri and todo[j][1] == end and end - first < READ_BYTES:
                     end += todo[j][2]
@@ -190,7 +202,11 @@ def read_records(packages: DataFrame) -> DataFrame:
                 with store.open_input_file(path) as f:
                     f.seek(first)
                     raw = f.read(end - first)
-                yield emit([parse(gzip.decompress(raw[a - first : a - first + n])) for _, a, n in todo[i:j]])
+                records = [parse(gzip.decompress(raw[a - first : a - first + n])) for _, a, n, _ in todo[i:j]]
+                for r, (_, a, _, digest) in zip(records, todo[i:j], strict=True):
+                    if r["payload_digest"] != digest:
+                        raise ValueError(f"{uri} at {a}: the index says {digest}, the record {r['payload_digest']}")
+                yield emit(records)
                 i = j
 
     total = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
@@ -203,5 +219,6 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes a record a page, reads the packages back, and returns RECORD rows.
 
     Null html is an empty payload; a null url gives no target URI. Of equal payloads of MIN_REVISIT bytes or more the smallest
-    page_id is the response (rows that repeat it too) and others revisit it; a null page_id never is referred to. An empty table makes no package."""
+    page_id is the response (rows that repeat it too) and others revisit it; a null page_id never is referred to, and is a response. A payload of any length is one
+    record. Payloads are hashed again as they are read: an error if a digest differs. An empty table makes no package. Other columns, whatever their names, are not read."""
     return read_records(write_packages(payloads(pages), work_dir(spark, "packages")))
