@@ -321,7 +321,7 @@ def planted(spark, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
     finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
     more = [
-        (10_001, finnish, None, "web"), (10_002, "qxzv kjwp xvqz wjkq zzxv pqkj vwxq jjkz " * 8, "en", "web"), (10_003, None, "en", "web"), (10_004, "", "en", None), (10_005, "123 456 !!", None, "web"),
+        (10_001, finnish, None, "web"), (10_002, "qxzv kjwp xvqz wjkq zzxv pqkj vwxq jjkz " * 8, None, "web"), (10_003, None, "en", "web"), (10_004, "", "en", None), (10_005, "123 456 !!", None, "web"),
         (10_006, first.text, first.lang, "copy"), (first.doc_id, first.text, first.lang, first.source), (10_007, first.text + " " + item, first.lang, "zz"), (10_008, item, first.lang, "zz"),
     ]
     return docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(*r, len(r[1] or "")) for r in more], "doc_id long, text string, lang string, source string, n_chars long"))
