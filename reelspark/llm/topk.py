@@ -1,11 +1,12 @@
 """Exact top-k inner products: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards near one another (the nearest of a fixed number of pivots, then chunks of at
-most about SHARD_ROWS rows by hash), and each shard becomes one row with its ball tree. A query is
-first searched in one shard of its own pivot; the k-th score found there is shared as
-a floor with the second round, which visits only the shards of pivots whose ball can reach it.
-In a tree, nodes whose upper bound |q| * radius + q . centre is below a query's
-current k-th score are left out, and a query's leaves are visited in the order of their bounds.
+Vectors are dealt to shards near one another: the nearest of some pivots, whose number grows with the table up to MOST_PIVOTS, and
+chunks by hash of pivots of more than SHARD_ROWS rows. Each shard becomes one row with its ball tree. Queries visit
+shards in the order of their upper bounds, in rounds: the best shard, the next few, the rest. After a
+round the k-th score so far is shared as a floor with the next one, which leaves out the shards
+whose ball can't reach it.
+In a tree a query first takes the leaf that a descent by larger bounds leads to; then nodes whose upper bound |q| * radius + q . centre is
+below its current k-th score are left out, and its leaves are visited in the order of their bounds.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import written
 
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 20_000, 128, 2_000
-PIVOTS, PIVOT_SAMPLE = 32, 4_000
+PIVOTS, MOST_PIVOTS, PIVOT_SAMPLE = 32, 1_024, 4_000
+ROUNDS = (1, 4, None)  # visits of a query up to which each round goes
 NONE = np.iinfo(np.int64).max
 
 
@@ -44,14 +46,16 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def pivots_of(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vectors, PIVOTS centres after a few k-means steps over at most PIVOT_SAMPLE rows, those of least hashes."""
+    """For each length of vectors, centres after a few k-means steps over a sample: PIVOTS, or two for each SHARD_ROWS rows, MOST_PIVOTS at most, from the PIVOT_SAMPLE
+    rows of least hashes and 16 more for each further pivot."""
     h = F.xxhash64("vec_id", F.lit(1))
-    # the sample's size doesn't depend on the table's; the search is exact whatever the pivots are
-    t = rows.orderBy(h, "vec_id").limit(PIVOT_SAMPLE).select("v", "dim").toPandas()
+    k = min(MOST_PIVOTS, max(PIVOTS, 2 * rows.count() // SHARD_ROWS))
+    # the sample is bounded; the search is exact whatever the pivots are
+    t = rows.orderBy(h, "vec_id").limit(PIVOT_SAMPLE + 16 * (k - PIVOTS)).select("v", "dim").toPandas()
     out = {}
     for dim, part in t.groupby("dim"):
         x = np.unique(np.stack([np.asarray(v, float) for v in part.v]), axis=0)
-        c = x[np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int)]
+        c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
         for _ in range(5):
             own = nearest(x, c)
             c = np.stack([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
@@ -120,6 +124,22 @@ class BallTree:
         def worst(rows: np.ndarray) -> np.ndarray:
             return np.maximum(scores[rows, -1], floor[rows])
 
+        def visit(rows: np.ndarray, node: int) -> None:
+            first, last = self.first[node], self.last[node]
+            ids = np.broadcast_to(self.ids[first:last], (len(rows), last - first))
+            s = q[rows] @ self.x[first:last].T
+            better(rows, np.where(ids == own[rows, None], -np.inf, s), ids, scores, found)
+
+        seen, todo = np.zeros(len(q), np.int64), [(0, np.arange(len(q)))]
+        while todo:
+            node, rows = todo.pop()
+            if not self.left[node]:
+                seen[rows] = node
+                visit(rows, node)
+                continue
+            one, two = self.left[node]
+            to_one = bound(rows, one) >= bound(rows, two)
+            todo += [(child, part) for child, part in ((one, rows[to_one]), (two, rows[~to_one])) if len(part)]
         leaves: list[tuple[np.ndarray, np.ndarray, int]] = []
         todo = [(0, np.arange(len(q)))]
         while todo:
@@ -130,8 +150,9 @@ class BallTree:
             if len(rows) and self.left[node]:
                 todo += [(child, rows) for child in self.left[node]]
             elif len(rows):
-                leaves.append((rows, b[keep], node))
-        if not leaves:
+                new = seen[rows] != node
+                leaves.append((rows[new], b[keep][new], node))
+        if not sum(len(rows) for rows, _, _ in leaves):
             return
         # wave j: each query's j-th best leaf, so that k-th scores rise before worse leaves are tried
         who = np.concatenate([r for r, _, _ in leaves])
@@ -147,11 +168,7 @@ class BallTree:
         for a, b in zip(cuts, np.r_[cuts[1:], len(who)], strict=True):
             rows = who[a:b][upper[a:b] >= worst(who[a:b])]
             if len(rows):
-                first, last = self.first[node[a]], self.last[node[a]]
-                ids = np.broadcast_to(self.ids[first:last], (len(rows), last - first))
-                s = q[rows] @ self.x[first:last].T
-                s = np.where(ids == own[rows, None], -np.inf, s)
-                better(rows, s, ids, scores, found)
+                visit(rows, node[a])
 
 
 def better(rows: np.ndarray, s: np.ndarray, ids: np.ndarray, scores: np.ndarray, found: np.ndarray) -> None:
@@ -195,51 +212,71 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank from 1, vec_id, score: each query's k highest inner products with candidates of other ids, ties to the smaller vec_id.
 
     Both inputs are as from as_integers(); only vectors of one length meet. Fewer than k rows if there are fewer candidates. Sums are exact below 2**53. Repeated
-    candidate rows count once; repeated queries too. Vectors of no components meet nothing. Empty tables give no rows."""
-    candidates, queries = written(candidates.dropDuplicates(["vec_id", "v"]), "vectors"), queries.dropDuplicates(["vec_id", "v"])
+    candidate rows count once; repeated queries too. Vectors of no components meet nothing, however long others are. Empty tables give no rows. Other columns, whatever their
+    names, are dropped by as_integers()."""
+    candidates, queries = written(candidates.dropDuplicates(["vec_id", "v"]), "vectors"), queries.dropDuplicates(["vec_id", "v"]).withColumn("vkey", F.xxhash64("v"))
     pivots = pivots_of(candidates)
     near = written(dealt(candidates, pivots), "dealt")
     sizes = near.groupBy("dim", "pivot").agg(F.count("*").alias("n")).select("dim", "pivot", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("chunks"))
     name = F.concat_ws(":", "dim", "pivot", "chunk")
     placed = near.join(F.broadcast(sizes), ["dim", "pivot"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("shard", name)
     forest = written(trees(placed), "forest")
-    # balls about the pivots: PIVOTS rows a length
+    # balls about the pivots: at most MOST_PIVOTS rows a length
     sent = queries.sparkSession.sparkContext.broadcast(pivots)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.to_pandas()
-            far = [float(np.sqrt(((np.asarray(v) - sent.value[d][p]) ** 2).sum())) if d in sent.value and d else float("inf") for v, d, p in zip(t["v"], t["dim"], t["pivot"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("pivot"), pa.array(far, pa.float64())], ["dim", "pivot", "far"])
+            dims, own = batch.column("dim").to_numpy(), batch.column("pivot").to_numpy()
+            far = np.full(len(dims), np.inf)
+            for dim in np.unique(dims):
+                if (c := sent.value.get(int(dim))) is not None and dim:
+                    at = np.flatnonzero(dims == dim)
+                    gap = matrix(batch.column("v").take(pa.array(at)), int(dim)) - c[own[at]]
+                    far[at] = np.sqrt((gap * gap).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("pivot"), pa.array(far)], ["dim", "pivot", "far"])
 
     radius = {(r.dim, r.pivot): (r.far, r.chunks) for r in near.mapInArrow(reach, "dim int, pivot int, far double").groupBy("dim", "pivot").agg(F.max("far").alias("far")).join(F.broadcast(sizes), ["dim", "pivot"]).collect()}
     balls = queries.sparkSession.sparkContext.broadcast((pivots, radius))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, radius = balls.value
+        centres, radius = balls.value
         for batch in batches:
-            ids, dims, vs = batch.column("vec_id").to_pylist(), batch.column("dim").to_pylist(), batch.column("v").to_pylist()
-            out = []
-            for i, d, v in zip(ids, dims, vs, strict=True):
-                q = np.asarray(v, float)
-                size = float(np.sqrt(q @ q))
-                for (dim, p), (far, chunks) in radius.items():
-                    if dim == d and d:
-                        b = float(q @ centre[d][p]) + size * far if d in centre and np.isfinite(far) else float("inf")
-                        out.append((i, v, d, p, chunks, b + 1e-6 * (1 + abs(b)) if np.isfinite(b) else b))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["query_id", "v", "dim", "pivot", "chunks", "bound"])
-
-    asked = written(queries.select("vec_id", "v", "dim").mapInArrow(bounds, "query_id long, v array<double>, dim int, pivot int, chunks int, bound double"), "asked")
+            dims, ids, keys = (batch.column(c).to_numpy() for c in ("dim", "vec_id", "vkey"))
+            for dim in np.unique(dims[dims > 0]):
+                at = np.flatnonzero(dims == dim)
+                q = matrix(batch.column("v").take(pa.array(at)), int(dim))
+                size = np.sqrt((q * q).sum(axis=1))
+                known = [(p, far, chunks) for (d, p), (far, chunks) in sorted(radius.items()) if d == dim]
+                if not known:
+                    continue
+                pivot, far, chunks = (np.array(x) for x in zip(*known, strict=True))
+                if dim in centres:
+                    b = q @ centres[dim][pivot].T + size[:, None] * far
+                    b = np.where(np.isfinite(b), b + 1e-6 * (1 + np.abs(b)), np.inf)
+                else:
+                    b = np.full((len(q), len(pivot)), np.inf)
+                n = len(at)
+                cols = [pa.array(np.repeat(ids[at], len(pivot))), pa.array(np.repeat(keys[at], len(pivot))), pa.array(np.full(n * len(pivot), dim, np.int32)), pa.array(np.tile(pivot.astype(np.int32), n)), pa.array(np.tile(chunks.astype(np.int32), n)), pa.array(b.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "vkey", "dim", "pivot", "chunks", "bound"])
+
+    asked = queries.select("vec_id", "vkey", "v", "dim").mapInArrow(bounds, "query_id long, vkey long, dim int, pivot int, chunks int, bound double")
+    # a query's visits by falling bounds; a pivot's chunks follow each other, beginning with one by the query's hash
+    turn = F.pmod(F.xxhash64("query_id", F.lit(2)), F.col("chunks"))
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("after", F.pmod(F.col("chunk") - turn, F.col("chunks")))
+    nth = F.row_number().over(W.partitionBy("query_id", "vkey").orderBy(F.desc("bound"), "pivot", "after"))  # a row a shard in each group
+    asked = written(asked.select("query_id", "vkey", name.alias("shard"), "bound", nth.alias("nth")), "asked")
     slices = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(max(1, -(-queries.count() // QUERY_ROWS)))).alias("slice")
-    home = asked.groupBy("query_id").agg(F.max_by(F.struct("pivot", F.pmod(F.xxhash64("query_id", F.lit(2)), F.col("chunks")).cast("int").alias("chunk")), F.struct("bound", "pivot")).alias("h")).select("query_id", "h.*")
-    first = asked.join(home, ["query_id", "pivot"]).select("query_id", "v", name.alias("shard"), slices, F.lit(float("-inf")).alias("floor"))
-    early = written(searched(first, forest, k), "early")
-    floors = early.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
-    rest = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).where("bound >= floor")
-    rest = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(home, ["query_id", "pivot", "chunk"], "left_anti")
-    late = searched(rest.select("query_id", "v", name.alias("shard"), slices, "floor"), forest, k)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    every = early.unionByName(late).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    vectors = queries.select(F.col("vec_id").alias("query_id"), "vkey", "v")
+    best, every, after = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), None, 0
+    for upto in ROUNDS:
+        visits = asked.where(F.col("nth") > after) if upto is None else asked.where((F.col("nth") > after) & (F.col("nth") <= upto))
+        if every is None:
+            visits = visits.withColumn("floor", F.lit(float("-inf")))
+        else:
+            floors = every.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
+            visits = visits.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).where("bound >= floor")
+        got = searched(visits.join(vectors, ["query_id", "vkey"]).select("query_id", "v", "shard", slices, "floor"), forest, k)
+        got = got if every is None else every.select("query_id", "vec_id", "score").unionByName(got)
+        got = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        every, after = got if upto is None else written(got, "best"), upto
     return every.select("query_id", "rank", "vec_id", "score")
