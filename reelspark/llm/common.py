@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.sources.work import shared_dir, work_dir, written
+from reelspark.sources.work import discard, shared_dir, work_dir, written
 
-__all__ = ["WORD", "few", "n_words", "shared_dir", "table", "uniform", "work_dir", "written"]
+__all__ = ["WORD", "discard", "few", "n_words", "shared_dir", "table", "uniform", "work_dir", "written"]
 
 #: ASCII white space that separates words, and the pattern of a word.
 WORD = "[^\\x20\\x09-\\x0D]+"

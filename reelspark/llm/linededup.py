@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import n_words, written
+from reelspark.llm.common import discard, n_words, written
 from reelspark.operators.ranks import prefix_sums, row_numbers
 
 DOC = ["did"]
@@ -62,6 +62,7 @@ def suffixes(docs: DataFrame, standing: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("hist", F.array("rank")), "lines")
     n, width = rows.count(), 1
     while True:
+        before_step = rows
         # where all `width` lines from here are repeated ones, the place `width` lines on is `width` rows on; a suffix with another line is unique already
         ahead = F.lead(F.struct("pos", "rank"), width).over(own)
         pairs = rows.withColumn("a", ahead).withColumn("there", F.coalesce(F.col("a.pos") == F.col("pos") + width, F.lit(False)))
@@ -70,9 +71,12 @@ def suffixes(docs: DataFrame, standing: DataFrame) -> DataFrame:
         order = _ordered(pairs.select("rank", "h", "g").distinct(), "rank", "h", "g")
         last = order.count() == n
         rows = pairs.join(order, ["rank", "h", "g"]).drop("rank", "h", "g").withColumnRenamed("new", "rank")
+        # the rows are written, and what they were made of can go
+        rows = written(row_numbers(rows, "rank", name="sa").drop("rank"), "array") if last else written(rows.withColumn("hist", F.concat("hist", F.array("rank"))), "doubled")
+        discard(before_step, pairs, order)
         if last:
-            return row_numbers(rows, "rank", name="sa").drop("rank")
-        rows, width = written(rows.withColumn("hist", F.concat("hist", F.array("rank"))), "doubled"), 2 * width
+            return rows
+        width *= 2
 
 
 def _shared(a: Column, b: Column, most: Column | None = None) -> Column:

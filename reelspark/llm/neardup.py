@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import few, written
+from reelspark.llm.common import discard, few, written
 from reelspark.operators.ranks import row_numbers
 
 BINS, ROWS = 200, 5
@@ -214,7 +214,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
     e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), label)
     while not settled(e):
-        e = written(star(star(e, True), False), label)
+        e, done = written(star(star(e, True), False), label), e
+        discard(done)
     return e.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
