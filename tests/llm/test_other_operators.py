@@ -159,6 +159,12 @@ def test_line_dedup(spark, odd_docs, no_docs, least, words):
     assert linededup.deduplicated_lines(no_docs, least).count() == 0
 
 
+def test_line_words(spark):
+    lines = ["", " ", "a", "a b", " a b", "a  b", "a b ", "a\tb", "\r", "a b\r", "é ü ß", "a\u00a0b c", "a\x0bb", "x " * 60, "a b\x0c c"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", linededup._line_words(queries.F.col("line")).alias("n")).collect()
+    assert all(r.n == len(re.findall(r"[^\x20\x09-\x0D]+", r.line)) for r in got) and len(got) == len(lines)
+
+
 # secrets
 
 
