@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontamination, langid, linededup, mixing, neardup, secrets, sharding, tokens, topk, warc
+from reelspark.llm import conversations, decontamination, langid, linededup, mixing, neardup, secrets, sharding, tokens, topk, warc
 from reelspark.llm.common import table, written
 
 
@@ -58,11 +58,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_top_k, op2_token_counts, op3_line_dedup, op4_decontamination, op5_secret_scan,
         op6_near_dedup, op7_sharding, op8_mixing, op9_warc, op10_language_id,
+        op11_conversation_repair,
     )
 }
 
