@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +219,30 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
+def closed_links(shared: DataFrame, sets: DataFrame, percent: int, link: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """(id, root) of the components of linked sets. shared (h, rep, n, hub, hub_n): each bucket's members, whose sets have n items, and its hub, one of them; linked sets share a
+    bucket. link(tasks, sets, percent) gives the links of blocks."""
+    # first each bucket's members against its hub
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent  # sets of other sizes can't be linked
+    pairs = shared.where("hub <> rep").where(near).select(F.col("hub").alias("g"), F.col("rep").alias("id"), "n", "hub_n").distinct()
+    edges = written(link(in_blocks(pairs.select("g", F.col("g").alias("id"), F.col("hub_n").alias("n")).distinct(), pairs.drop("hub_n")), sets, percent), "edges")
+    stars = components(edges, "stars")
+    # then the members of other components than a bucket's main one (the largest) against all of the main one and each other
+    r = shared.join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    r = written(r, "members")
+    sizes = r.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    main = r.select("h", "comp").distinct().join(sizes, "comp").groupBy("h").agg(F.max(F.struct("size", (-F.col("comp")).alias("less"))).alias("x"), F.count("*").alias("comps")).where("comps > 1")
+    main = written(main.select("h", (-F.col("x").getField("less")).alias("g")), "main")
+    others = written(r.join(main, "h").where("comp <> g").select("g", F.col("rep").alias("id"), "n").distinct(), "others")
+    members = r.select(F.col("comp").alias("g"), F.col("rep").alias("id"), "n").distinct().join(others.select("g").distinct(), "g", "left_semi")
+    # sets can be linked only in one size class or in neighbouring ones, as a class spans the widest ratio of linked sizes
+    size = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
+    classed = lambda t, c: t.withColumn("c", c).select(F.xxhash64("g", "c").alias("g"), "id", "n")
+    around = F.explode(F.array(size - 1, size, size + 1))
+    more = link(in_blocks(classed(others, size), classed(members.unionByName(others), around)), sets, percent)
+    return components(stars.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more), "components")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (it is that document).
 
@@ -234,25 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     hubs = written(hubs, "hubs")  # read back, so that the join can split the rows of a hot bucket
     shared = written(rows.join(hubs, "h"), "buckets")
     sets = shingle_sets(docs, shared.select(F.col("rep").alias("id")).distinct(), k)
-    # first each bucket's members against its least one
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent  # sets of other sizes can't be linked
-    pairs = shared.where("hub < rep").where(near).select(F.col("hub").alias("g"), F.col("rep").alias("id"), "n", "hub_n").distinct()
-    edges = written(linked(in_blocks(pairs.select("g", F.col("g").alias("id"), F.col("hub_n").alias("n")).distinct(), pairs.drop("hub_n")), sets, percent), "edges")
-    stars = components(edges, "stars")
-    # then the members of other components than a bucket's main one (the largest) against all of the main one and each other
-    r = shared.join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    r = written(r, "members")
-    sizes = r.select("rep", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    main = r.select("h", "comp").distinct().join(sizes, "comp").groupBy("h").agg(F.max(F.struct("size", (-F.col("comp")).alias("less"))).alias("x"), F.count("*").alias("comps")).where("comps > 1")
-    main = written(main.select("h", (-F.col("x").getField("less")).alias("g")), "main")
-    others = written(r.join(main, "h").where("comp <> g").select("g", F.col("rep").alias("id"), "n").distinct(), "others")
-    members = r.select(F.col("comp").alias("g"), F.col("rep").alias("id"), "n").distinct().join(others.select("g").distinct(), "g", "left_semi")
-    # sets can be linked only in one size class or in neighbouring ones, as a class spans the widest ratio of linked sizes
-    size = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
-    classed = lambda t, c: t.withColumn("c", c).select(F.xxhash64("g", "c").alias("g"), "id", "n")
-    around = F.explode(F.array(size - 1, size, size + 1))
-    more = linked(in_blocks(classed(others, size), classed(members.unionByName(others), around)), sets, percent)
-    roots = components(stars.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more), "components")
+    roots = closed_links(shared, sets, percent, linked)
     ends = classes.select("sig", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))
     out = own.join(ends, "sig", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import conversations, decontamination, langid, linededup, mixing, neardup, secrets, sharding, tokens, topk, warc
+from reelspark.llm import conversations, decontamination, langid, linededup, mixing, neardup, ngramjoin, secrets, sharding, spelling, tokens, topk, warc
 from reelspark.llm.common import table, written
 
 
@@ -62,12 +62,20 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_top_k, op2_token_counts, op3_line_dedup, op4_decontamination, op5_secret_scan,
         op6_near_dedup, op7_sharding, op8_mixing, op9_warc, op10_language_id,
-        op11_conversation_repair,
+        op11_conversation_repair, op12_spelling_variants, op13_ngram_join,
     )
 }
 
@@ -119,6 +127,17 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.id)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM d JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_ngram_join": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 2 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+        u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+        FROM d JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
