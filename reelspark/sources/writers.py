@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,27 +47,106 @@ def upsert_embeddings(old: DataFrame, new: DataFrame, key: str = "id") -> DataFr
 
 
 class EmbeddingStore:
-    """A Parquet table in versions: a reader sees the newest finished one. K6."""
+    """A table in hash buckets of its key and in versions. K6.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = "id string, embedding array<float>"):
-        self.spark, self.path, self.schema = spark, path, schema
-        jvm = spark._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
+    A version is a manifest: for each bucket the folder that holds it. An upsert writes new folders for the buckets that its keys fall into, and then publishes the next manifest
+    by creating its file, which fails if another writer came first; the upsert is then made again on that one's version. A manifest cut short by a lost
+    writer counts for nothing. Readers see whole versions; folders of the newest version and the one before are kept."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = "id string, embedding array<float>", key: str = "id", buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self._p = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._p(self.path)):
-            return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._p(self.path)))
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and self._fs.exists(self._p(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v[-1]}") if v else self.spark.createDataFrame([], self.schema)
-
-    def upsert(self, new: DataFrame, key: str = "id") -> None:
-        """Writes the next version; it counts once it is finished."""
-        v = self._versions()
-        upsert_embeddings(self.read(), new, key).write.mode("overwrite").parquet(f"{self.path}/v{v[-1] + 1 if v else 0}")
-        for old in v[:-1]:
-            self._fs.delete(self._p(f"{self.path}/v{old}"), True)
+    def _names(self, folder: str) -> list[str]:
+        p = self._p(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def _manifest(self, name: str) -> dict | None:
+        p = self._p(f"{self.path}/versions/{name}")
+        f = self._fs.open(p)
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f)).decode())
+        except ValueError:  # its writer was lost, or is at it
+            return None
+        finally:
+            f.close()
+
+    def versions(self) -> list[int]:
+        return [int(n[:-5]) for n in self._names("versions") if n.endswith(".json") and self._manifest(n)]
+
+    def _state(self, version: int | None = None) -> tuple[int, dict]:
+        known = self.versions()
+        number = version if version is not None else max(known, default=-1)
+        return number, self._manifest(f"{number:012d}.json") if number >= 0 else {"buckets": self.buckets, "folders": {}}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/data/{f}" for f in folders]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or the one asked for."""
+        return self._read(sorted(self._state(version)[1]["folders"].values()))
+
+    def _bucketed(self, rows: DataFrame, buckets: int) -> DataFrame:
+        return rows.withColumn("__bucket", F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int"))
+
+    def _write(self, rows: DataFrame) -> dict[str, str]:
+        """Folders by bucket of bucketed rows."""
+        name = uuid.uuid4().hex
+        rows.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/data/{name}")
+        return {n.split("=")[1]: f"{name}/{n}" for n in self._names(f"data/{name}") if n.startswith("__bucket=")}
+
+    def _published(self, number: int, state: dict) -> bool:
+        p = self._p(f"{self.path}/versions/{number:012d}.json")
+        self._fs.mkdirs(p.getParent())
+        try:
+            out = self._fs.create(p, False)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        return True
+
+    def _next(self) -> int:
+        """Behind all manifests, those cut short included."""
+        return max((int(n[:-5]) for n in self._names("versions") if n.endswith(".json")), default=-1) + 1
+
+    def upsert(self, new: DataFrame) -> None:
+        """New rows replace those of their keys. Repeating an upsert changes nothing."""
+        for _ in range(10):
+            number, (old_number, state) = self._next(), self._state()
+            rows = self._bucketed(new, state["buckets"])
+            written = self._write(rows)  # computed once: its folders tell the buckets
+            if not written:
+                return
+            there = [state["folders"][b] for b in written if b in state["folders"]]
+            folders = written
+            if there:
+                fresh = self._read(list(written.values()))
+                folders = self._write(self._bucketed(upsert_embeddings(self._read(there), fresh, self.key), state["buckets"]))
+                self._fs.delete(self._p(f"{self.path}/data/{next(iter(written.values())).split('/')[0]}"), True)
+            if self._published(number, {"buckets": state["buckets"], "folders": state["folders"] | folders}):
+                self.vacuum()
+                return
+            self._fs.delete(self._p(f"{self.path}/data/{next(iter(folders.values())).split('/')[0]}"), True)
+        raise RuntimeError("ten other writers came first")
+
+    def rebucket(self, buckets: int) -> None:
+        """A version in another number of buckets, for a table that has grown."""
+        number = self._next()
+        if not self._published(number, {"buckets": buckets, "folders": self._write(self._bucketed(self.read(), buckets))}):
+            raise RuntimeError("another writer came first")
+        self.vacuum()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes what only versions before the last `keep` need. Folders that no version names yet may be a writer's own and stay until a later version exists for them."""
+        known = self.versions()
+        old, kept = known[:-keep], known[-keep:]
+        used = {f for v in kept for f in self._manifest(f"{v:012d}.json")["folders"].values()}
+        for v in old:
+            for f in set(self._manifest(f"{v:012d}.json")["folders"].values()) - used:
+                self._fs.delete(self._p(f"{self.path}/data/{f}"), True)
+            self._fs.delete(self._p(f"{self.path}/versions/{v:012d}.json"), False)

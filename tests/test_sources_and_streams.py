@@ -115,6 +115,53 @@ def test_sinks(spark, tmp_path):
 T0 = datetime(2024, 1, 1)
 
 
+def files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_store_rewrites_touched_buckets(spark, tmp_path):
+    store = writers.EmbeddingStore(spark, f"file://{tmp_path}/store", "id long, embedding array<double>", buckets=16)
+    rows = lambda n, v: spark.range(n).select("id", F.array(F.lit(v)).alias("embedding"))
+    assert store.read().count() == 0 and store.versions() == []
+    store.upsert(rows(400, 1.0))
+    before = files(tmp_path / "store")
+    assert len(before) == 16
+    earlier = store.read()
+    store.upsert(rows(1, 2.0))
+    after = files(tmp_path / "store")
+    assert all(after[p] == t for p, t in before.items()) and len(after) == 17  # one bucket is new, all others stand as they were
+    value = lambda df: {r.id: r.embedding[0] for r in df.collect()}
+    assert value(store.read()) == {i: 2.0 if i == 0 else 1.0 for i in range(400)}
+    assert value(earlier) == value(store.read(0)) == dict.fromkeys(range(400), 1.0)  # the version that it was opened on
+    store.upsert(rows(0, 3.0))
+    assert store.versions() == [0, 1]
+    store.upsert(rows(1, 2.0))
+    assert store.versions() == [1, 2] and len(files(tmp_path / "store")) == 17 and value(store.read())[0] == 2.0
+    store.rebucket(4)
+    assert len(value(store.read())) == 400 and len(store.read().inputFiles()) == 4
+
+
+def test_store_writers_at_once(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/store", "id long, embedding array<double>"
+    one, two = (writers.EmbeddingStore(spark, path, schema, buckets=4) for _ in range(2))
+    rows = lambda i: spark.createDataFrame([(i, [float(i)])], schema)
+    one.upsert(rows(1))
+    real, raced = one._published, []
+
+    def late(number, state):
+        if not raced:
+            raced.append(number)
+            two.upsert(rows(2))  # comes first
+        return real(number, state)
+
+    one._published = late
+    one.upsert(rows(3))
+    assert raced == [1] and one.versions()[-1] == 2 and {r.id for r in two.read().collect()} == {1, 2, 3}
+    (tmp_path / "store" / "versions" / "000000000003.json").write_text('{"buckets": 4, "fol')  # a writer was lost
+    one.upsert(rows(4))
+    assert two.versions()[-1] == 4 and {r.id for r in two.read().collect()} == {1, 2, 3, 4}
+
+
 def test_resume(spark, tmp_path):
     src, args = f"{tmp_path}/src", (f"{tmp_path}/progress", f"{tmp_path}/out", f"{tmp_path}/cp")
     work = lambda df: df.withColumn("status", F.when(F.col("id") == "bad", "error").otherwise("processed"))
