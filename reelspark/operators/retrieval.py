@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import l2_normalize
+from reelspark.operators.nearest import knn
 from reelspark.sources.work import written
 
+__all__ = ["knn", "knn_similarity", "pairwise_similarity", "retrieval_at_k", "similarity_histogram", "similarity_rows", "similarity_stats", "similarity_sums", "uniformity", "unit"]
+
 BLOCK_ROWS = 4_000
 
 
@@ -77,24 +80,6 @@ def similarity_rows(df: DataFrame, key: str = "id", col: str = "embedding") -> D
     return parts.groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
 
 
-def knn(df: DataFrame, k: int, key: str = "id", col: str = "embedding", digits: int | None = None) -> DataFrame:
-    """(id, neighbour, sim, rank) of the k most similar other rows, ties by id; sim is rounded to `digits` before ranking if given. W1.
-
-    k is cut to the number of other rows. Ids are whole numbers."""
-
-    def best(_q: int, _c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        s = np.round(s, digits) if digits is not None else s
-        s[qi[:, None] == ci[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
-        sim = np.take_along_axis(s, order, 1).ravel()
-        out = pd.DataFrame({"id": np.repeat(qi, order.shape[1]), "neighbour": ci[order].ravel(), "sim": sim})
-        return out[np.isfinite(sim)]
-
-    tops = _by_block_pairs(df, key, col, False, best, "id long, neighbour long, sim double")
-    w = W.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
-    return tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def _distribution(df: DataFrame, key: str, col: str, bins: int = 0, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
     """One pass over the pairs a < b: in bin 0 their number, sum, sum of squares, ends, and sum of exp(-2 (2 - 2 sim)); in bins from 1 on the
     numbers of the similarities in equal bins of [lo, hi], what lies outside in the end bins."""
