@@ -22,6 +22,7 @@ from reelspark.sources.work import written
 __all__ = ["knn", "knn_similarity", "pairwise_similarity", "retrieval_at_k", "similarity_histogram", "similarity_rows", "similarity_stats", "similarity_sums", "uniformity", "unit"]
 
 BLOCK_ROWS = 4_000
+GATHERED = 100_000
 
 
 def _blocks(df: DataFrame, key: str, col: str) -> tuple[int, DataFrame]:
@@ -89,7 +90,7 @@ def _distribution(df: DataFrame, key: str, col: str, bins: int = 0, lo: float =
         out = pd.DataFrame({"bin": [0], "n": [len(s)], "s": [s.sum()], "ss": [(s * s).sum()], "lo": [s.min(initial=np.inf)], "hi": [s.max(initial=-np.inf)], "u": [np.exp(-2 * (2 - 2 * s)).sum()]})
         if not bins:
             return out
-        n = np.bincount(np.clip(np.floor((s - lo) / (hi - lo) * bins), 0, bins - 1).astype(int), minlength=bins)
+        n = np.bincount(_bin(s, lo, hi, bins), minlength=bins)
         at = np.flatnonzero(n)
         return pd.concat([out, pd.DataFrame({"bin": at + 1, "n": n[at], "s": 0.0, "ss": 0.0, "lo": 0.0, "hi": 0.0, "u": 0.0})])
 
@@ -112,15 +113,51 @@ def similarity_histogram(df: DataFrame, bins: int, lo: float, hi: float, key: st
     return _distribution(df, key, col, bins, lo, hi).where("bin > 0").select("bin", "n")
 
 
-def similarity_stats(df: DataFrame, key: str = "id", col: str = "embedding", precision: float = 1e-4) -> DataFrame:
-    """mean, sample std, min, max and lower median of the similarities of distinct pairs of unit vectors. A19.
-
-    The median is that of similarities rounded down to `precision`, by a histogram of their whole range, made in the same pass."""
-    both = written(_distribution(df, key, col, round(2 / precision)), "similarities")  # at most 2 / precision rows
-    upto = F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    half = F.sum("n").over(W.partitionBy(F.lit(1)))
-    median = both.where("bin > 0").withColumn("upto", upto).withColumn("all", half).where(F.col("upto") * 2 >= F.col("all")).agg(F.min("bin").alias("b")).select((F.lit(-1.0) + (F.col("b") - 1) * precision).alias("median"))
-    return _sums(both).select("mean", "std", "min", "max").crossJoin(F.broadcast(median))
+def _bin(s: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    return np.clip(np.floor((s - lo) / (hi - lo) * bins), 0, bins - 1).astype(int)
+
+
+def _order_statistic(df: DataFrame, key: str, col: str, rank: int, histogram: list, lo: float, hi: float, bins: int) -> DataFrame:
+    """One row (value): the rank-th least similarity of pairs a < b, given their histogram, rows (bin from 1, n), over [lo, hi].
+
+    The bin that holds it is divided again, until at most GATHERED values or a width of rounding errors are left; those are counted one by one. A pass takes values by their bins in the
+    passes before, so all agree. What a pass gathers is a row a bin."""
+    path: list[tuple[float, float, int, int]] = []
+    while True:
+        below = 0
+        for b, n in sorted(histogram):
+            if below + n >= rank:
+                break
+            below += n
+        rank -= below
+        width = (hi - lo) / bins
+        path.append((lo, hi, bins, b - 1))
+        lo, hi = lo + (b - 1) * width, lo + b * width
+        last = n <= GATHERED or width < 1e-12
+
+        def part(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray, path=tuple(path), lo=lo, hi=hi, last=last) -> pd.DataFrame:
+            s = s[qi[:, None] < ci[None, :]] if q == c else s.ravel()
+            for bracket in path:
+                s = s[_bin(s, *bracket[:3]) == bracket[3]]
+            at, n = np.unique(s if last else _bin(s, lo, hi, bins) + 1.0, return_counts=True)
+            return pd.DataFrame({"value": at, "n": n})
+
+        counted = _by_block_pairs(df, key, col, True, part, "value double, n long").groupBy("value").agg(F.sum("n").alias("n"))
+        if last:
+            upto = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0))  # GATHERED values, or the few doubles of a width of 1e-12
+            return counted.withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min("value").alias("value"))
+        histogram = [(int(r.value), r.n) for r in counted.collect()]
+
+
+def similarity_stats(df: DataFrame, key: str = "id", col: str = "embedding", bins: int = 20_000) -> DataFrame:
+    """mean, sample std, min, max and lower median of the similarities of distinct pairs of unit vectors. A19."""
+    both = written(_distribution(df, key, col, bins), "similarities")  # at most bins + 1 rows
+    histogram = [(r.bin, r.n) for r in both.where("bin > 0").select("bin", "n").collect()]
+    pairs = sum(n for _, n in histogram)
+    if not pairs:
+        return _sums(both).select("mean", "std", "min", "max", F.lit(None).cast("double").alias("median"))
+    median = _order_statistic(df, key, col, (pairs + 1) // 2, histogram, -1.0, 1.0, bins)
+    return _sums(both).select("mean", "std", "min", "max").crossJoin(F.broadcast(median.withColumnRenamed("value", "median")))
 
 
 def uniformity(df: DataFrame, key: str = "id", col: str = "embedding", diagonal: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-worked cases and properties."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -158,3 +159,19 @@ def test_similar_pairs(spark):
     got = {(r.a, r.b): r.sim for r in retrieval.pairwise_similarity(df, 2.0).collect()}
     assert got == {k: s for k, s in want.items() if s >= 2.0}
     assert {(r.a, r.b) for r in retrieval.pairwise_similarity(df, -1.0, upper=True).collect()} == {k for k in want if k[0] < k[1]}
+
+
+@pytest.mark.parametrize(("n", "copies", "gathered"), [(2, 0, 100), (41, 0, 5), (40, 0, 5), (60, 40, 5), (30, 30, 1)])
+def test_lower_median(spark, monkeypatch, n, copies, gathered):
+    """By brackets of four bins, down to few values or to equal ones, over several blocks."""
+    monkeypatch.setattr(retrieval, "GATHERED", gathered)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    rnd = random.Random(n)
+    vs = [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(n)]
+    vs[:copies] = [vs[0]] * copies
+    vs = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in vs]
+    want = sorted(sum(x * y for x, y in zip(v, w, strict=True)) for i, v in enumerate(vs) for w in vs[:i])
+    df = spark.createDataFrame(list(enumerate(vs)), "id long, embedding array<double>")
+    got = retrieval.similarity_stats(df, bins=4).first()
+    assert math.isclose(got.median, want[(len(want) - 1) // 2], abs_tol=1e-12) and math.isclose(got.max, want[-1], abs_tol=1e-12)
+    assert retrieval.similarity_stats(df.limit(0)).count() <= 1
