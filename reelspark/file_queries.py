@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.operators import metrics
+from reelspark.operators import bootstrap, metrics
 from reelspark.queries import BOOT, ITEMS, C, items, numbered, query, r6, table
 from reelspark.sources import readers, tar, writers
 from reelspark.sources.work import work_dir, written
@@ -217,3 +217,11 @@ def _(s, d):
 
     data = numbered(s, d)
     return metrics.bootstrap_ci(data, rms, ["rms"], weights=written(metrics.draws(data, 200, 42), "draws")).select("metric", r6("value"), r6("lower"), r6("upper"))
+
+
+@query("m09_python_metric", f"""WITH {BOOT}, a AS (SELECT replicate, quantile_disc(x, 0.5) AS med FROM w JOIN n USING (row) GROUP BY replicate)
+    SELECT 'median' AS metric, (SELECT round(quantile_disc(x, 0.5), 6) FROM n) AS value, round(quantile_cont(med, 0.025), 6) AS lower, round(quantile_cont(med, 0.975), 6) AS upper FROM a""")
+def _(s, d):
+    data = numbered(s, d)
+    median = bootstrap.python_metric(bootstrap.weighted_median, ["x"], "median")
+    return metrics.bootstrap_ci(data, median, ["median"], weights=written(metrics.draws(data, 200, 42), "draws")).select("metric", r6("value"), r6("lower"), r6("upper"))

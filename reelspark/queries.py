@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions import columns as fn
-from reelspark.operators import joins, labels, metrics, ranks, reports, retrieval, splits, vectors
+from reelspark.operators import bootstrap, joins, labels, metrics, ranks, reports, retrieval, splits, vectors
 from reelspark.plans import frames
 from reelspark.sources import readers, writers
 from reelspark.sources.work import written
@@ -548,6 +548,20 @@ def _(s, d):
     return metrics.bootstrap_ci(data, lambda df, by, wt: metrics.roc_auc(df, by, wt, score="x"), ["auc"], weights=w).select("metric", r6("value"), r6("lower"), r6("upper"))
 
 
+@query("a17_multinomial_totals", "SELECT replicate, n AS drawn, n AS rows FROM (SELECT unnest(range(1000)) AS replicate), (SELECT count(*) AS n FROM embeddings)")
+def _(s, d):
+    got = bootstrap.replicate_sums(table(s, d, "embeddings"), {"rows": F.lit(1)}, ["vec_id"], 1000)
+    return got.select("replicate", "drawn", C("rows").cast("long").alias("rows"))
+
+
+@query("a17_bootstrap_thousand")
+def _(s, d):
+    data = numbered(s, d)
+    sums = {"right": (C("y") == C("pred")).cast("int"), "off": F.abs(C("y") - C("x")), "square": (C("y") - C("x")) ** 2}
+    values = {"accuracy": C("right") / C("drawn"), "mae": C("off") / C("drawn"), "rmse": F.sqrt(C("square") / C("drawn"))}
+    return bootstrap.sums_ci(data, sums, values, ["row"], 1000).select("metric", r6("value"), r6("lower"), r6("upper"))
+
+
 @query("a18_calibrate_threshold", f"""WITH {BINARY}, t AS (SELECT range / 100 AS t FROM range(1, 100)), m AS (SELECT t, count(*) FILTER (score >= t AND y = 1) AS tp, count(*) FILTER (score >= t AND y = 0) AS fp, count(*) FILTER (y = 1) AS p FROM b, t GROUP BY t)
     SELECT t AS threshold, round(2 * tp / (tp + fp + p), 6) AS value FROM m ORDER BY 2 * tp / (tp + fp + p) DESC, t LIMIT 1""")
 def _(s, d):
