@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.sources.work import written
+
+FAN = 8
+
 
 def mean_pool(df: DataFrame, key: str, col: str = "embedding") -> DataFrame:
     """The mean vector of each key, by partial sums in map tasks. A4; for means of means pool twice."""
@@ -65,10 +70,43 @@ def gram(df: DataFrame, col: str = "embedding") -> tuple[int, np.ndarray, np.nda
     return int(by[d + 1][0]), by[d], np.stack([by[i] for i in range(d)])
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int | None = None) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if d is None else d)
+
+
+def singular_values(df: DataFrame, col: str = "embedding") -> np.ndarray:
+    """Singular values of the rows' matrix, falling, by QR in a tree: a task keeps the R factor of what it has read, and R factors are stacked and factored again, FAN at a time.
+
+    Nothing is squared, so small values keep their digits. A factor is D x D; tasks hold FAN of them, and the driver the last one. Rows without vector are left out."""
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = place = None
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                part = batch[i : i + 4096]
+                place, x = part.column(1)[0].as_py(), _matrix(part.column(0))
+                r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([r.tobytes()], pa.binary()), pa.array([r.shape[1]], pa.int32())], ["place", "r", "d"])
+
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        d = int(part.d.iloc[0])
+        r = np.linalg.qr(np.vstack([np.frombuffer(b, float).reshape(-1, d) for b in part.sort_values("place").r]), mode="r")
+        return pd.DataFrame({"place": part.place.iloc[:1] // FAN, "r": [r.tobytes()], "d": d})
+
+    rows = df.where(F.col(col).isNotNull()).select(F.col(col).cast("array<double>"), F.spark_partition_id().cast("long").alias("place"))
+    factors = written(rows.mapInArrow(factor, "place long, r binary, d int"), "factors")
+    last = factors.agg(F.max("place").alias("p")).first().p
+    while last:
+        factors = factors.groupBy(F.floor(F.col("place") / FAN)).applyInPandas(merged, "place long, r binary, d int")
+        last //= FAN
+    got = factors.collect()
+    return np.linalg.svd(np.frombuffer(got[0].r, float).reshape(-1, got[0].d), compute_uv=False) if got else np.zeros(0)
+
+
 def effective_rank(df: DataFrame, col: str = "embedding") -> DataFrame:
     """exp of the entropy of the singular values' shares, uncentred. A23."""
-    _, _, g = gram(df, col)
-    s = np.sqrt(np.clip(np.linalg.eigvalsh(g), 0, None)) if g.size else np.zeros(0)
+    s = singular_values(df, col)
     p = s[s > 0] / s.sum() if s.sum() else s[:0]
     return df.sparkSession.createDataFrame([(float(np.exp(-(p * np.log(p)).sum())) if len(p) else 0.0,)], "effective_rank double")
 
