@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +192,40 @@ def _(s, d):
     return drained(s, pairs, "pairs").where("key <> 'end'").select("key", "frames", "metadata")
 
 
+@query("t04_log_meter", "WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events) SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least FROM w GROUP BY ALL")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", "value", C("ts").cast("timestamp").alias("ts"))
+    end = s.range(1).select(F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("2200-01-01").cast("timestamp").alias("ts"))  # later than all, so that every window ends
+    early, late = (table(s, d, "events").where(f"event_id % 2 = {i}").select(*e.columns[:2], C("ts").cast("timestamp").alias("ts")) for i in (0, 1))
+    m = drained(s, jobs.log_meter_stream(streamed(s, early, "log", late, end), "6 hours", value="value", by="event_type", delay="3650 days"), "meter").where("event_type <> 'end'")
+    return m.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", r6("mean"), r6("least"))
+
+
+@query("t05_progress", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    e, out = table(s, d, "events").select(C("event_type").alias("status"), "event_id"), work_dir(s, "counts")
+    counts = jobs.progress_stream(streamed(s, e.where("event_id % 2 = 0"), "log", e.where("event_id % 2 = 1")))
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", work_dir(s, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    every = s.read.schema("status string, n long, batch long").parquet(out)
+    return every.join(F.broadcast(every.agg(F.max("batch").alias("batch"))), "batch").select("status", "n")
+
+
+STATUS = "CASE WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 11 = 0 THEN 'skipped' ELSE 'processed' END"
+
+
+@query("t05_progress_counters", f"""WITH e AS (SELECT user_id AS worker, ts, event_id, {STATUS} AS status FROM events), c AS (SELECT worker, status, count(*) OVER o AS logged, count(*) FILTER (status = 'processed') OVER o AS processed,
+    count(*) FILTER (status = 'skipped') OVER o AS skipped, count(*) FILTER (status = 'error') OVER o AS errors FROM e WINDOW o AS (PARTITION BY worker ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT worker, 'counter' AS kind, logged, processed, skipped, errors FROM c WHERE status = 'processed' AND processed % 20 = 0 UNION ALL SELECT worker, 'flush', logged, processed, skipped, errors FROM c WHERE logged % 10 = 0
+    UNION ALL SELECT worker, 'idle', max(logged), max(processed), max(skipped), max(errors) FROM c GROUP BY worker""")
+def _(s, d):
+    e = table(s, d, "events").select(C("user_id").alias("worker"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("id"), F.expr(STATUS).alias("status"))
+    end = s.range(1).select(F.lit(-1).cast("long").alias("worker"), F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("id"), F.lit("end").alias("status"))
+    jobs.with_rocksdb(s)
+    counters = jobs.progress_counters(streamed(s, e, "log", end), 20, 10, timedelta(days=3650))
+    return drained(s, counters, "counters").where("worker >= 0")
+
+
 @query("t06_dedup_stream", "SELECT DISTINCT user_id::VARCHAR AS key FROM events")
 def _(s, d):
     e = table(s, d, "events").select(C("user_id").cast("string").alias("key"), C("ts").cast("timestamp").alias("ts"))

@@ -781,21 +781,6 @@ def _(s, d):
 # streams: their batch twins
 
 
-@query("t04_log_meter", "WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events) SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least FROM w GROUP BY ALL")
-def _(s, d):
-    from reelspark.streaming import jobs
-
-    m = jobs.log_meter(table(s, d, "events"), "6 hours", value="value", by="event_type")
-    return m.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", r6("mean"), r6("least"))
-
-
-@query("t05_progress", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
-def _(s, d):
-    from reelspark.streaming import jobs
-
-    return jobs.progress_stream(table(s, d, "events").withColumnRenamed("event_type", "status"))
-
-
 # probes
 
 

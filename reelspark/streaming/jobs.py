@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from reelspark.operators import joins
 from reelspark.sources import tar, writers
@@ -66,10 +68,59 @@ def log_meter_stream(df: DataFrame, window: str = "1 hour", slide: str | None =
 
 
 def progress_stream(df: DataFrame, status: str = "status") -> DataFrame:
-    """Counts by status, for update or complete mode. T5."""
+    """Counts by status, for update or complete mode; progress_counters() counts as rows come. T5."""
     return df.groupBy(status).agg(F.count("*").alias("n"))
 
 
+class _Counters(StatefulProcessor):
+    """Counts of a worker's statuses, kept between batches."""
+
+    def __init__(self, every: int, flush: int, idle_ms: int):
+        self.every, self.flush, self.idle_ms = every, flush, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "logged long, processed long, skipped long, errors long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows)).sort_values(["ts", "id"])
+        logged, processed, skipped, errors, timer = self.counts.get() or (0, 0, 0, 0, 0)
+        out = []
+        for status in part.status:
+            logged += 1
+            processed, skipped, errors = processed + (status == "processed"), skipped + (status == "skipped"), errors + (status == "error")
+            if status == "processed" and processed % self.every == 0:
+                out.append((key[0], "counter", logged, processed, skipped, errors))
+            if logged % self.flush == 0:
+                out.append((key[0], "flush", logged, processed, skipped, errors))
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = max(timer, int(part.ts.max().timestamp() * 1000) + self.idle_ms)
+        self.handle.registerTimer(timer)
+        self.counts.update((logged, processed, skipped, errors, timer))
+        yield pd.DataFrame(out, columns=["worker", "kind", "logged", "processed", "skipped", "errors"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        logged, processed, skipped, errors, _ = self.counts.get()
+        self.counts.update((logged, processed, skipped, errors, 0))
+        yield pd.DataFrame([(key[0], "idle", logged, processed, skipped, errors)], columns=["worker", "kind", "logged", "processed", "skipped", "errors"])
+
+
+def progress_counters(df: DataFrame, every: int = 100, flush: int = 50, idle: timedelta = timedelta(hours=1), delay: str = "1 minute") -> DataFrame:
+    """(worker, kind, logged, processed, skipped, errors) of a stream (worker, ts, id, status): a worker's counters at each `every` processed ones, at each `flush` logged ones, and once
+    the watermark is `idle` past its last row. T5. Rows of a batch count in the order of ts and id.
+
+    State is five numbers a worker; a stream is keyed by worker, so no task counts all. The session needs the RocksDB state store (with_rocksdb)."""
+    rows = df.select("worker", "ts", "id", "status").withWatermark("ts", delay)
+    schema = f"worker {df.schema['worker'].dataType.simpleString()}, kind string, logged long, processed long, skipped long, errors long"
+    return rows.groupBy("worker").transformWithStateInPandas(_Counters(every, flush, int(idle.total_seconds() * 1000)), outputStructType=schema, outputMode="append", timeMode="EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """State of arbitrary stateful operators is kept in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def dedup_stream(df: DataFrame, key: str = "key", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """The first row of each key within the delay. T6."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

@@ -228,3 +228,25 @@ def test_embed_stream(spark, tmp_path):
     store = writers.EmbeddingStore(spark, f"file://{tmp_path}/store", "id long, embedding array<double>")
     jobs.embed_stream(stream, store, lambda df: df.select("id", F.array(F.col("id") * 1.0).alias("embedding")), f"{tmp_path}/cp").awaitTermination()
     assert {r.id: r.embedding for r in store.read().collect()} == {i: [float(i)] for i in range(6)}
+
+
+def test_counters_go_on_after_a_restart(spark, tmp_path):
+    """Rows in two lists, the stream ended and started again between them: counters as of one pass over all."""
+    jobs.with_rocksdb(spark)
+    log = [(f"w{i % 3}", T0 + timedelta(seconds=i), i, ("processed", "skipped", "error")[(i % 7 > 4) + (i % 7 > 5)]) for i in range(200)]
+    schema = "worker string, ts timestamp, id long, status string"
+    src, out = f"{tmp_path}/log", f"{tmp_path}/counters"
+    for part in (log[:77], log[77:], [("end", T0 + timedelta(days=9), -1, "end")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        stream = jobs.progress_counters(spark.readStream.schema(schema).parquet(src), 10, 5, timedelta(hours=1))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for w in ("w0", "w1", "w2"):
+        n = {"processed": 0, "skipped": 0, "error": 0}
+        for logged, (_, _, _, status) in enumerate((r for r in log if r[0] == w), 1):
+            n[status] += 1
+            row = (w, logged, n["processed"], n["skipped"], n["error"])
+            want += [(row[0], kind, *row[1:]) for kind, due in (("counter", status == "processed" and n["processed"] % 10 == 0), ("flush", logged % 5 == 0)) if due]
+        want.append((row[0], "idle", *row[1:]))
+    got = [tuple(r) for r in spark.read.parquet(out).where("worker <> 'end'").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 40
