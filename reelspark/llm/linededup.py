@@ -37,11 +37,6 @@ def _line_words(line: Column) -> Column:
     return F.when(odd, n_words(line)).otherwise((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long"))
 
 
-def _ordered(keys: DataFrame, *names: str) -> DataFrame:
-    """Distinct keys with `new`, increasing in their order."""
-    return written(keys.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("new", F.monotonically_increasing_id()), "ranks")
-
-
 def documents(docs: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
     """(standing, others) of the distinct documents: standing has (did, doc_id, tkey, n, copies), did being the place in the order of doc_id, nulls
     last, then of the text's digest; others (doc_id, tkey, n) repeat the text of an earlier one and have min_lines lines or more."""
@@ -56,50 +51,67 @@ def documents(docs: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
     return written(standing, "standing"), t.where("again").select("doc_id", "tkey", "n")
 
 
+def _refined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (rank, keys, ..) with `new`, the rank within its group of equal ranks moved on by the number of the group's rows of lesser keys, and c, the number of rows of equal rank and keys."""
+    counts = rows.groupBy("rank", *keys).agg(F.count("*").alias("c"))
+    counts = prefix_sums(counts, {"c": "upto"}, ["rank", *keys]).withColumn("upto", F.col("upto") - F.col("c"))
+    counts = written(counts, "counts")
+    starts = counts.groupBy("rank").agg(F.min("upto").alias("start"))
+    counts = written(counts.join(starts, "rank").withColumn("new", F.col("rank") + F.col("upto") - F.col("start")).drop("upto", "start"), "ranks")  # read back, so that the join can split a hot rank
+    return rows.join(counts, ["rank", *keys])
+
+
 def suffixes(docs: DataFrame, standing: DataFrame) -> DataFrame:
     """(did, pos, words, before, copies, hist, sa): the suffix array of all places whose line occurs again. sa counts from 1; hist has the suffix's ranks
-    at 1, 2, 4 .. lines, equal for suffixes that share so many; before is the rank of the line before, if that occurs again; words are the line's."""
-    lines = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "tkey", "pos", _line_words(F.col("line")).alias("words"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("line"))
-    order = _ordered(lines.groupBy("line").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "line")
+    at 1, 2, 4 .. lines up to the one that is its own, equal for suffixes that share so many; before is the rank of the line before, if that occurs again; words are the line's.
+
+    A rank is the first place of its suffixes in the array, so a suffix that no other shares its rank with is settled: it is set aside, and read again only where its document has others."""
+    lines = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = lines.withColumn("line", F.unhex(F.md5(F.col("text").cast("binary"))))
     d = standing.select(F.col("doc_id").alias("d_id"), F.col("tkey").alias("d_key"), "did", "copies")
-    rows = lines.join(order, "line").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tkey") == F.col("d_key")))
-    rows = rows.select("did", "pos", "words", "copies", F.col("new").alias("rank")).dropDuplicates(["did", "pos"])  # rows that repeat a document count once
-    own, before = W.partitionBy(*DOC).orderBy("pos"), F.lag(F.struct("pos", "rank"))
-    rows = rows.withColumn("b", before.over(own)).withColumn("before", F.when(F.col("b.pos") == F.col("pos") - 1, F.col("b.rank"))).drop("b")
-    rows = written(rows.withColumn("hist", F.array("rank")), "lines")
-    n, width = rows.count(), 1
-    while True:
-        before_step = rows
-        # where all `width` lines from here are repeated ones, the place `width` lines on is `width` rows on; a suffix with another line is unique already
-        ahead = F.lead(F.struct("pos", "rank"), width).over(own)
-        pairs = rows.withColumn("a", ahead).withColumn("there", F.coalesce(F.col("a.pos") == F.col("pos") + width, F.lit(False)))
-        pairs = pairs.withColumn("h", F.when(F.col("there"), F.col("a.rank")).otherwise(-F.col("did"))).withColumn("g", F.when(F.col("there"), F.lit(-1)).otherwise(F.col("pos"))).drop("a", "there")
+    again = written(lines.groupBy("line").agg(F.count("*").alias("c")).where("c > 1").select("line"), "again")
+    rows = lines.join(again, "line").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tkey") == F.col("d_key")))
+    rows = rows.select("did", "pos", _line_words(F.col("text")).alias("words"), "copies", "line").dropDuplicates(["did", "pos"])  # rows that repeat a document count once
+    rows = written(rows.withColumn("rank", F.lit(1).cast("long")), "lines")
+    own = W.partitionBy(*DOC).orderBy("pos")
+    before = F.lag(F.struct("pos", "new")).over(own)
+    now = _refined(rows, ["line"]).withColumn("b", before).withColumn("before", F.when(F.col("b.pos") == F.col("pos") - 1, F.col("b.new"))).drop("b", "line", "rank").withColumnRenamed("new", "rank")
+    now = written(now.withColumn("hist", F.array("rank")), "ranked")
+    settled, active, width, done = now.where("c = 1").drop("c"), now.where("c > 1").drop("c"), 1, []
+    while not active.isEmpty():
+        # where all `width` lines from here are repeated ones, the place `width` lines on is `width` rows on; a suffix with another line differs from all that share its rank by its document and place
+        some = active.select("did").distinct()
+        near = settled.join(some, DOC, "left_semi").select("did", "pos", "rank", F.lit(False).alias("on"))
+        near = near.unionByName(active.withColumn("on", F.lit(True)), allowMissingColumns=True)
+        ahead = near.withColumn("a", F.lead(F.struct("pos", "rank"), width).over(own)).where("on").drop("on")
+        there = F.coalesce(F.col("a.pos") == F.col("pos") + width, F.lit(False))
+        pairs = ahead.withColumn("h", F.when(there, F.col("a.rank")).otherwise(-F.col("did"))).withColumn("g", F.when(there, F.lit(-1)).otherwise(F.col("pos"))).drop("a")
         pairs = written(pairs, "pairs")
-        order = _ordered(pairs.select("rank", "h", "g").distinct(), "rank", "h", "g")
-        last = order.count() == n
-        rows = pairs.join(order, ["rank", "h", "g"]).drop("rank", "h", "g").withColumnRenamed("new", "rank")
-        # the rows are written, and what they were made of can go
-        rows = written(row_numbers(rows, "rank", name="sa").drop("rank"), "array") if last else written(rows.withColumn("hist", F.concat("hist", F.array("rank"))), "doubled")
-        discard(before_step, pairs, order)
-        if last:
-            return rows
+        new = _refined(pairs, ["h", "g"]).drop("rank", "h", "g").withColumnRenamed("new", "rank")
+        new = written(new.withColumn("hist", F.concat("hist", F.array("rank"))), "doubled")
+        discard(pairs)
+        settled, active = settled.unionByName(new.where("c = 1").drop("c")), new.where("c > 1").drop("c")
+        done.append(new)
         width *= 2
+    out = written(settled.withColumnRenamed("rank", "sa"), "array")
+    discard(rows, now, *done)
+    return out
 
 
 def _shared(a: Column, b: Column, most: Column | None = None) -> Column:
     """Number of widths, of the first `most`, at which two suffixes have equal ranks: they share 2^(that less 1) lines, if any."""
-    n = F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x), F.lit(0))
+    n = F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x), F.lit(0))
     return n if most is None else F.least(n, most)
 
 
 def with_lcp(array: DataFrame) -> DataFrame:
     """suffixes() with lcp, the lines that a suffix shares with the one before it in the array, and next_lcp, with the one after it."""
     back = array.select((F.col("sa") + 1).alias("sa"), F.col("did").alias("p_did"), F.col("pos").alias("p_pos"), F.col("before").alias("p_before"), F.col("hist").alias("p_hist"))
-    pairs = array.join(back, "sa").withColumn("k", _shared(F.col("hist"), F.col("p_hist")))
     same = F.coalesce(F.col("before") == F.col("p_before"), F.lit(False))
     step = lambda k: F.when(k > 0, F.expr("shiftleft(1, k - 1)")).otherwise(0)
-    pairs = written(pairs.where(~same & (F.col("k") > 0)).select("did", "pos", "p_did", "p_pos", step(F.col("k")).alias("lcp"), "k"), "irreducible")
+    every = array.join(back, "sa", "left").withColumn("reducible", same).withColumn("k", F.when(F.col("reducible"), 0).otherwise(_shared(F.col("hist"), F.col("p_hist"))))
+    every = written(every.drop("hist", "p_hist", "before", "p_before"), "neighbours")
+    pairs = every.where("k > 0").select("did", "pos", "p_did", "p_pos", step(F.col("k")).alias("lcp"), "k")
     found, todo = pairs.where("k < 2").select("did", "pos", "lcp"), pairs.where("k > 1")
     there = array.select(F.col("did").alias("x"), F.col("pos").alias("y"), "hist")
     while not todo.isEmpty():
@@ -108,9 +120,7 @@ def with_lcp(array: DataFrame) -> DataFrame:
         two = two.withColumn("k", _shared(F.col("hist1"), F.col("hist"), F.col("k") - 1)).withColumn("lcp", F.col("lcp") + step(F.col("k")))
         two = written(two.select("did", "pos", "p_did", "p_pos", "lcp", "k"), "longer")
         found, todo = found.unionByName(two.where("k < 2").select("did", "pos", "lcp")), two.where("k > 1")
-    rows = array.drop("hist").join(found, ["did", "pos"], "left")
-    first = array.select("sa", "before").join(back.select("sa", "p_before"), "sa", "left").select("sa", F.coalesce(F.col("before") == F.col("p_before"), F.lit(False)).alias("reducible"))
-    rows = rows.join(first, "sa").withColumn("end", F.when(~F.col("reducible"), F.coalesce("lcp", F.lit(0)) + F.col("pos")))
+    rows = every.drop("p_did", "p_pos", "k").join(found, ["did", "pos"], "left").withColumn("end", F.when(~F.col("reducible"), F.coalesce("lcp", F.lit(0)) + F.col("pos")))
     upto = W.partitionBy(*DOC).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = written(rows.withColumn("lcp", F.greatest(F.lit(0), F.last("end", ignorenulls=True).over(upto) - F.col("pos")).cast("int")).drop("end", "reducible"), "lcp")
     after = rows.select((F.col("sa") - 1).alias("sa"), F.col("lcp").alias("next_lcp"))
