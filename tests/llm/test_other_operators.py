@@ -44,7 +44,6 @@ def top(spark, data, k, mod=2):
 def test_top_k(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
-    monkeypatch.setattr(topk, "PIVOTS", 4)
     rnd = np.random.default_rng(3)
     near = rnd.normal(size=(5, 6))
     data = [(i, (near[i % 5] + 0.2 * rnd.normal(size=6)).tolist(), 0) for i in range(300)]
@@ -54,6 +53,33 @@ def test_top_k(spark, monkeypatch, shard_rows):
     assert top(spark, data, 7) == want
 
 
+def test_top_k_visits_few_leaves():
+    """A tree of many leaves: near queries see a small part of them."""
+    rnd = np.random.default_rng(5)
+    x = np.floor(64 * (rnd.normal(size=(40, 8))[rnd.integers(0, 40, 5000)] * 4 + 0.1 * rnd.normal(size=(5000, 8))))
+    tree = topk.BallTree(np.arange(5000), x)
+    leaves = sum(not left for left in tree.left)
+    own = np.arange(200)
+    scores, found = np.full((200, 5), -np.inf), np.full((200, 5), topk.NONE)
+    tree.search(x[:200], own, scores, found, np.full(200, -np.inf))
+    s = x[:200] @ x.T
+    s[own, own] = -np.inf
+    assert (np.sort(s, axis=1)[:, :-6:-1] == scores).all() and leaves > 60 and tree.visited < 0.2 * leaves * 200
+
+
+def test_top_k_lists_few_shards(spark, monkeypatch):
+    """A vector of many copies, and clusters: of all queries and shards few are listed, and ties go to the smaller ids."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    listed, real = [], topk.bounded
+    monkeypatch.setattr(topk, "bounded", lambda *a: listed.append(real(*a)) or listed[-1])
+    rnd = np.random.default_rng(6)
+    near = rnd.normal(size=(25, 6)) * 3
+    data = [(i, (near[i % 25] + 0.05 * rnd.normal(size=6)).tolist() if i % 3 else [4.0, -4.0, 4.0, 0.0, 0.0, 2.0], 0) for i in range(1500)]
+    assert top(spark, data, 5, 20) == brute_top([(i, np.float32(v).tolist()) for i, v, _ in data], 5, 20)
+    queries, shards = 75, 1500 / 40
+    assert sum(df.count() for df in listed) < 0.4 * queries * shards
+
+
 def test_top_k_small(spark):
     assert top(spark, [], 5) == []
     assert top(spark, [(0, [1.0, 2.0], 1)], 5) == []
