@@ -67,11 +67,11 @@ def suffixes(docs: DataFrame, standing: DataFrame) -> DataFrame:
 
     A rank is the first place of its suffixes in the array, so a suffix that no other shares its rank with is settled: it is set aside, and read again only where its document has others."""
     lines = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    lines = lines.withColumn("line", F.unhex(F.md5(F.col("text").cast("binary"))))
+    lines = lines.select("doc_id", "tkey", "pos", _line_words(F.col("text")).alias("words"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"))
     d = standing.select(F.col("doc_id").alias("d_id"), F.col("tkey").alias("d_key"), "did", "copies")
     again = written(lines.groupBy("line").agg(F.count("*").alias("c")).where("c > 1").select("line"), "again")
     rows = lines.join(again, "line").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tkey") == F.col("d_key")))
-    rows = rows.select("did", "pos", _line_words(F.col("text")).alias("words"), "copies", "line").dropDuplicates(["did", "pos"])  # rows that repeat a document count once
+    rows = rows.select("did", "pos", "words", "copies", "line").dropDuplicates(["did", "pos"])  # rows that repeat a document count once
     rows = written(rows.withColumn("rank", F.lit(1).cast("long")), "lines")
     own = W.partitionBy(*DOC).orderBy("pos")
     before = F.lag(F.struct("pos", "new")).over(own)
