@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspark.sources.work import discard, shared_dir, work_dir, written
 
-__all__ = ["WORD", "discard", "few", "n_words", "shared_dir", "table", "uniform", "work_dir", "written"]
+__all__ = ["WORD", "discard", "few", "n_words", "quoted", "shared_dir", "table", "uniform", "work_dir", "written"]
 
 #: ASCII white space that separates words, and the pattern of a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of a name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

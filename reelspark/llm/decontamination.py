@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import few, written
+from reelspark.llm.common import few, quoted, written
 
 PART_BYTES, PASS_PARTS = 1_000_000, 4
 #: Bytes that end a word become a blank, A-Z become a-z, the rest stay: bytes above 0x7F belong to words.
@@ -205,10 +205,10 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
 
     Null and empty texts have no words and no hits; a text of any length is followed as a whole. Items without words have no windows; items of one id count once.
     Repeated documents each get a row; an empty table gives none. An empty benchmark finds nothing. Columns in `keep` may have any names that don't begin with __."""
-    got = _with_spans(docs.select(*keep, F.col("text").cast("binary").alias("__text")), items, window, id_col, item_text)
+    got = _with_spans(docs.select(*map(quoted, keep), F.col("text").cast("binary").alias("__text")), items, window, id_col, item_text)
     got = got.withColumn("n_hit", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]))
     return got.select(
-        *keep, F.col("__n").alias("n_words"), "n_hit", F.size("__items").cast("long").alias("n_items"),
+        *map(quoted, keep), F.col("__n").alias("n_words"), "n_hit", F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("__spans").alias("spans"),
     )
 
@@ -217,7 +217,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, span: int = 10, c
     """docs with the words of found spans cut out of `text` where a span reaches `span` words or, together, spans cover
     `coverage` of the document; documents of which no word is left go. Other columns stay, whatever their names. Rows, null, empty and long texts as in find(): without hits a row stays as it is."""
     names = docs.columns
-    others = F.struct(*(c for c in names if c != "text"), F.lit(0).alias("never_empty")).alias("others")
+    others = F.struct(*(quoted(c) for c in names if c != "text"), F.lit(0).alias("never_empty")).alias("others")
     got = _with_spans(docs.select(others, F.col("text").cast("binary").alias("__text")), items, window, "item_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

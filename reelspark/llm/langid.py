@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reelspark.llm.common import few, written
+from reelspark.llm.common import few, quoted, written
 
 SLOTS = 1 << 18
 PIECE = 500_000  # code points handled at once
@@ -104,7 +105,7 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, close: float = 0.25, l
     names = sorted(sizes)
     if not names:
         return Model([], 0, np.zeros((1, SLOTS), np.uint64), np.zeros(0))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, docs_per_language / sizes[k])))), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     trigrams gets the commonest language with score 0; ties go to the language that sorts first. A text of any length is read as a whole, PIECE code points'
     worth of texts at a time. Repeated rows get equal answers; an empty table gives no rows; columns in `keep` may have any names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * 8 bytes for 64 languages
-    fields, at = docs.select(*keep).schema, keep.index("text") if "text" in keep else -1  # a kept text goes to Python once
+    fields, at = docs.select(*map(quoted, keep)).schema, keep.index("text") if "text" in keep else -1  # a kept text goes to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -161,8 +162,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             kept = batch.num_columns - (at < 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:kept], "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(*keep, *([F.col("text").alias("__read")] if at < 0 else [])).mapInArrow(run, schema)
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*map(quoted, keep), *([F.col("text").alias("__read")] if at < 0 else [])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

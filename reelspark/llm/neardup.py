@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import discard, few, written
+from reelspark.llm.common import discard, few, quoted, written
 from reelspark.operators.ranks import row_numbers
 
 BINS, ROWS = 200, 5
@@ -34,7 +34,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 48) - 1)
 WORDS_KEPT = 100_000
 BROADCAST_IDS = 500_000
-BLOCK_ROWS, BLOCK_ITEMS = 256, 2_000_000  # sets, and shingles of them (8 bytes each), that a task holds of a side
+BLOCK_ROWS, BLOCK_ITEMS = 128, 2_000_000  # sets, and shingles of them (8 bytes each), that a task holds of a side
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -167,8 +167,18 @@ def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 sides[side].append((i, x))
         yield found()
 
-    rows = tasks.join(sets, "id").select("task", "side", "id", "items")
-    return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, "a long, b long")
+    return evenly(tasks, sets).mapInArrow(run, "a long, b long")
+
+
+def evenly(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(task, side, id, items), a task's rows next to each other, side 0 first: tasks in the order of their sizes are dealt to the partitions in turn, so that all get equal shares."""
+    tasks = written(tasks, "tasks")
+    sizes = tasks.groupBy("task").agg(F.count("*").alias("n"))
+    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = written(row_numbers(sizes, F.desc("n"), "task").select("task", F.pmod("rn", F.lit(n)).cast("int").alias("turn")), "turns")
+    turns = F.broadcast(turns) if turns.count() <= BROADCAST_IDS else turns
+    rows = tasks.join(turns, "task").join(sets, "id").select("task", "side", "id", "items", "turn")
+    return rows.repartitionById(n, F.col("turn")).sortWithinPartitions("task", "side").drop("turn")
 
 
 def in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -281,5 +291,5 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     own = docs.where("doc_id is not null").withColumn("__tkey", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__tkey"])
     own = written(own.join(ids, (F.col("doc_id") == F.col("__id")) & F.col("__tkey").eqNullSafe(F.col("__key"))).drop("__id", "__key", "__tkey"), "rows")
     gone = near_duplicates(own.select(F.col("__row").alias("doc_id"), "text"), k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-    left = own.join(gone, own["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
+    left = own.join(gone, own["__row"] == gone["__gone"], "left_anti").select(*map(quoted, docs.columns))
     return left.unionByName(docs.where("doc_id is null"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import few, written
-from reelspark.llm.neardup import BROADCAST_IDS, Shingler, closed_links
+from reelspark.llm.neardup import BROADCAST_IDS, Shingler, closed_links, evenly
 
 STEP = 128  # shingles of a path that are looked up at once, at first
 
@@ -94,8 +94,7 @@ def linked(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
             pairs = []
 
-    rows = tasks.join(sets, "id").select("task", "side", "id", "items")
-    return rows.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, "a long, b long")
+    return evenly(tasks, sets).mapInArrow(run, "a long, b long")
 
 
 def may_miss(n: Column, percent: int) -> Column:

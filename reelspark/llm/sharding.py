@@ -18,7 +18,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import written
+from reelspark.llm.common import quoted, written
 
 FIRST_DIGITS, MORE_DIGITS, DIGEST = 3, 2, 32
 
@@ -139,7 +139,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     one group; empty texts are ordinary, and a text of any length is one row of one shard. Repeated rows each get a slot; ties in doc_id stand in any order. An empty
     table gives an empty result. Other columns are left alone, whatever their names."""
     t = F.col(text_col)
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), text_key(t).alias("__key"), text_size(t).alias("__size"), F.crc32(t.cast("binary")).alias("__crc"), *(F.col(c).alias(f"k_{c}") for c in keep)), "sized")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), text_key(t).alias("__key"), text_size(t).alias("__size"), F.crc32(t.cast("binary")).alias("__crc"), *(quoted(c).alias(f"k_{c}") for c in keep)), "sized")
     _, starts = minimax_cuts(sized, shards)
     shard = sum(((F.col("__key") >= F.lit(k)).cast("int") for k in starts), F.lit(0)) if starts else F.lit(0)
     # slots: rows in (shard, doc_id) order over range partitions, then each partition's offset
@@ -151,5 +151,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     return placed.join(F.broadcast(offsets), ["shard", "__part"]).select(
         "doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("__at") + F.col("__off")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), *(F.col(f"k_{c}").alias(c) for c in keep if c not in ("doc_id", "size", "shard", "slot", "law", "text_crc32", "grown_shard")),
+        F.lit(None).cast("int").alias("grown_shard"), *(quoted(f"k_{c}").alias(c) for c in keep if c not in ("doc_id", "size", "shard", "slot", "law", "text_crc32", "grown_shard")),
     )
