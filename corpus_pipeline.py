@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.llm import decontamination, langid, mixing, neardup, sharding
-from reelspark.llm.common import table, work_dir
+from reelspark.llm.common import quoted, table, work_dir
 
 
 #: Texts of which a smaller share of trigrams is in the profile of any learned language go. Of held-out documents of the learned languages, junk and a single
@@ -20,9 +20,9 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no learned language: null, without a letter, or under LEAST_SCORE."""
     others = [c for c in docs.columns if c != "text"]
-    got = langid.predict(docs.select(F.struct(*others).alias("others"), "text"), langid.learn(docs), ["others", "text"])
+    got = langid.predict(docs.select(F.struct(*map(quoted, others)).alias("others"), "text"), langid.learn(docs), ["others", "text"])
     got = got.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return got.select(*("text" if c == "text" else f"others.{c}" for c in docs.columns))
+    return got.select(*("text" if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
