@@ -5,22 +5,28 @@ longest match that ends there. A match of `window` words or more is a hit over i
 each of its windows stands in one item; an item shorter than a window is a window as a whole. Spans
 are removed if they reach `span` words or cover `coverage` of the document.
 
-Items travel in parts of about PART_BYTES, PASS_PARTS in one pass over the documents; a larger benchmark takes more
-passes and not more memory.
+Items are cut into pieces of PIECE_WORDS that overlap by a window less one word, so no window is lost, and pieces are dealt to parts of about PART_BYTES. Tasks build a
+part's automaton each and leave it as a file in the shared folder, opened by pyarrow's file systems; tasks on documents open PASS_PARTS of them in one pass. A larger
+benchmark takes more passes and not more memory, and the driver gets no more of it than the files' names.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import few, quoted, written
+from reelspark.llm.common import few, quoted, work_dir, written
 
-PART_BYTES, PASS_PARTS = 1_000_000, 4
+PART_BYTES, PASS_PARTS, PIECE_WORDS = 1_000_000, 4, 8_000
 #: Bytes that end a word become a blank, A-Z become a-z, the rest stay: bytes above 0x7F belong to words.
 _NORMAL = bytes(i if i >= 0x80 or 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
 
@@ -142,20 +148,48 @@ class Automaton:
         return out, items
 
 
-def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return items.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("binary").alias("t"))
+def pieces(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(i, ws): the items' words, separated by blanks, in overlapping pieces; written, repeated ones once."""
 
-
-def n_parts(items: DataFrame, text_col: str) -> int:
-    total = items.agg(F.coalesce(F.sum(F.octet_length(text_col) + 16), F.lit(0)).alias("b")).first().b
-    return max(1, -(-total // PART_BYTES))
-
-
-def part_of(items: DataFrame, id_col: str, text_col: str, k: int, n: int) -> list[tuple[str, list[bytes]]]:
-    """Part k of n of the items, of about PART_BYTES; items of equal ids are together."""
-    rows = _items(items, id_col, text_col)
-    rows = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-    return sorted((r.i, words(bytes(r.t))) for r in rows.collect())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches, 64):
+            ids, out = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = words(text)
+                for a in range(0, max(1, len(ws) - window + 1), PIECE_WORDS):
+                    ids.append(i)
+                    out.append(b" ".join(ws[a : a + PIECE_WORDS + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], ["i", "ws"])
+
+    own = items.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    return written(own.mapInArrow(run, "i string, ws binary").distinct(), "pieces")
+
+
+def automata(items: DataFrame, window: int, id_col: str, text_col: str) -> list[str]:
+    """Files of the parts' automata, built by a task each."""
+    own = pieces(items, window, id_col, text_col)
+    total = own.agg(F.coalesce(F.sum(F.octet_length("ws") + 16), F.lit(0)).alias("b")).first().b
+    folder = work_dir(items.sparkSession, "automata")
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        made = Automaton(sorted((i, bytes(ws).split()) for i, ws in zip(part.i, part.ws, strict=True)), window)
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{int(part.part.iloc[0])}-{uuid.uuid4().hex}"  # each attempt has a file of its own
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(pickle.dumps(made))
+        return pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+    parts = own.withColumn("part", F.pmod(F.xxhash64("ws"), F.lit(max(1, -(-total // PART_BYTES)))))
+    return sorted(r.path for r in written(parts.groupBy("part").applyInPandas(build, "path string"), "parts").collect())  # a row a part
+
+
+@lru_cache(maxsize=PASS_PARTS)
+def opened(path: str) -> Automaton:
+    """An automaton, kept by the worker for its next task."""
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(name) as f:
+        return pickle.loads(f.read())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,15 +204,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, item_text: str) -> DataFrame:
     """docs (with __text binary) plus __n words, __spans and __items, one pass over docs for each PASS_PARTS parts of the benchmark."""
-    sc = docs.sparkSession.sparkContext
     docs = docs.withColumn("__n", F.lit(0).cast("long")).withColumn("__spans", F.array().cast("array<array<long>>")).withColumn("__items", F.array().cast("array<string>"))
     at = docs.columns.index("__text")
-    parts = list(range(n_parts(items, item_text)))
-    for first in range(0, len(parts), PASS_PARTS):
-        sent = [sc.broadcast(Automaton(part_of(items, id_col, item_text, k, len(parts)), window)) for k in parts[first : first + PASS_PARTS]]
+    paths = automata(items, window, id_col, item_text)
+    for first in range(0, max(1, len(paths)), PASS_PARTS):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automata = [b.value for b in sent]
+        def run(batches: Iterator[pa.RecordBatch], paths=paths[first : first + PASS_PARTS]) -> Iterator[pa.RecordBatch]:
+            automata = [opened(p) for p in paths]
             for batch in few(batches):
                 n = batch.num_columns
                 counts, all_spans, all_items = [], [], []
@@ -195,7 +227,7 @@ def _with_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, ite
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], batch.schema.names)
 
         docs = docs.mapInArrow(run, docs.schema)
-        if first + PASS_PARTS < len(parts):
+        if first + PASS_PARTS < len(paths):
             docs = written(docs, "matched")
     return docs
 

@@ -201,6 +201,7 @@ def test_decontamination(spark):
 @pytest.mark.parametrize("part_bytes", [1_000_000, 60])
 def test_decontamination_odd(spark, odd_docs, no_docs, monkeypatch, part_bytes):
     monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 8_000 if part_bytes > 100 else 3)  # pieces shorter than a window, too
     items = [(1, "ALPHA beta"), (2, "beta gamma delta alpha beta gamma delta alpha beta gamma delta x"), (2, "beta"), (3, None), (4, ""), (5, "x"), (6, " ".join(f"word{i} other{i % 31}" for i in range(9))), (7, "gamma delta"), (8, "a a a a a a a a a a a a"), (9, "Straße"), (10, "ete"), (None, "nobody owns")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [("" if k is None else k, t) for k, t in items]
@@ -213,6 +214,20 @@ def test_decontamination_odd(spark, odd_docs, no_docs, monkeypatch, part_bytes):
     assert 100 not in left and left[5] is None and left[10] == "Ünïcode été Straße über" and 101 in left and left[101].split() == ["a"] * 9 + ["b"]
 
 
+def test_long_items_are_split(spark, monkeypatch):
+    """An item of many pieces, and many rows of one id, make parts of bounded size; spans go on over the borders of pieces."""
+    monkeypatch.setattr(decontamination, "PART_BYTES", 2_000)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 50)
+    long = [f"w{i}" for i in range(1000)]
+    items = spark.createDataFrame([(1, " ".join(long)), *((2, f"other {i} " + "tail " * 12) for i in range(100))], "item_id long, text string")
+    own = decontamination.pieces(items, 10, "item_id", "text")
+    assert max(len(r.ws.split()) for r in own.collect()) == 59 and own.count() == 120
+    assert len(decontamination.automata(items, 10, "item_id", "text")) > 4
+    docs = spark.createDataFrame([(1, " ".join(long[130:470])), (2, " ".join(long[5:14])), (3, "x " + " ".join(long[:80]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, [list(s) for s in r.spans], r.n_items) for r in decontamination.find(docs, items).collect()}
+    assert got == {1: (340, [[0, 340]], 1), 2: (0, [], 0), 3: (80, [[1, 81]], 1)}
+
+
 def test_automaton_random():
     import random
 
