@@ -133,8 +133,12 @@ class BallTree:
             self.visited += len(rows)
             first, last = self.first[node], self.last[node]
             ids = np.broadcast_to(self.ids[first:last], (len(rows), last - first))
-            s = q[rows] @ self.x[first:last].T
-            better(rows, np.where(ids == own[rows, None], -np.inf, s), ids, scores, found)
+            s = np.where(ids == own[rows, None], -np.inf, q[rows] @ self.x[first:last].T)
+            can = s >= worst(rows)[:, None]
+            some = can.any(axis=1)
+            columns = can.any(axis=0)  # few rows and columns of a leaf can count once k-th scores are high
+            if some.any():
+                better(rows[some], s[some][:, columns], ids[some][:, columns], scores, found)
 
         seen, todo = np.zeros(len(q), np.int64), [(0, np.arange(len(q)))]
         while todo:
@@ -160,21 +164,11 @@ class BallTree:
                 leaves.append((rows[new], b[keep][new], node))
         if not sum(len(rows) for rows, _, _ in leaves):
             return
-        # wave j: each query's j-th best leaf, so that k-th scores rise before worse leaves are tried
-        who = np.concatenate([r for r, _, _ in leaves])
-        upper = np.concatenate([b for _, b, _ in leaves])
-        node = np.concatenate([np.full(len(r), n) for r, _, n in leaves])
-        order = np.lexsort((-upper, who))
-        who, upper, node = who[order], upper[order], node[order]
-        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        wave = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
-        order = np.lexsort((node, wave))
-        who, upper, node, wave = who[order], upper[order], node[order], wave[order]
-        cuts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (wave[1:] != wave[:-1])])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(who)], strict=True):
-            rows = who[a:b][upper[a:b] >= worst(who[a:b])]
+        # leaf by leaf, those of the highest bounds first, with the queries whose k-th score they can still reach
+        for rows, upper, node in sorted(leaves, key=lambda leaf: -leaf[1].max(initial=-np.inf)):
+            rows = rows[upper >= worst(rows)]
             if len(rows):
-                visit(rows, node[a])
+                visit(rows, node)
 
 
 def better(rows: np.ndarray, s: np.ndarray, ids: np.ndarray, scores: np.ndarray, found: np.ndarray) -> None:
