@@ -3,13 +3,13 @@
 A token's encoding is the smallest alphabet that holds its characters; words and numbers joined by - _ / + are
 judged by their letters and digits alone, a capital at a word's start as a small letter. The battery asks how far it
 is from a uniform draw of that alphabet: chi-squared over the symbols, runs about the alphabet's middle, the correlation
-of neighbours and, where the alphabet has them, the share of the letters that are commonest in words. Their least
+of neighbours, where the alphabet has them the shares of the letters that are commonest and rarest in words and the number of neighbours of which one is a vowel, and where it encodes bytes the share of those that print as ASCII. Their least
 p-value, allowing for their number, becomes a score: near 0 for uniform draws, the higher the less uniform.
 
 The hypothesis under test is that a token is ordinary: made of words and numbers. How ordinary tokens of an encoding and
-length class score is found from made-up ones, words joined in the encoding's manner (camelCase, numbers, marks): words by usual letters,
-and words by the corpus's own letter pairs. The median and lower spread of each turn a score into a p-value, of which the
-larger holds, so a corpus of few or odd words can't make others look random; short tokens, which tell little, get large ones.
+length class score is found from made-up ones of several families: words joined in the encoding's manner (camelCase, numbers, marks), by usual letters
+and by the corpus's own letter pairs; words of languages of other letters; acronyms; counters and time stamps. The median and
+lower spread of each turn a score into a p-value, of which the largest holds, so a token has to be unlike all of them; short tokens, which tell little, get large ones.
 Benjamini-Hochberg over the distinct tokens of all documents bounds the share of ordinary ones among those reported as `random`.
 """
 
@@ -48,9 +48,14 @@ ALPHABETS = {
 PLACES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 LEAST = 20
 COMMON = frozenset("aeinorst")  # over six tenths of the letters of English, French, German and Spanish texts
+RARE = frozenset("jkqvwxyz")  # under a tenth of the letters of such texts, and of acronyms
 BY_SIZE = sorted(PLACES, key=lambda k: len(PLACES[k]))
 MARKED = {"base64": "+/", "base64url": "-_"}
-MADE_UP = 4_000  # ordinary tokens drawn for each stratum
+MADE_UP = 4_000  # ordinary tokens of a family drawn for each stratum
+FAMILIES = 5
+VOWELS = "aeiouy"
+BYTES = {"hex": (16, 2, 1), "HEX": (16, 2, 1), "base32": (32, 8, 5), "base62": (64, 4, 3), "base64": (64, 4, 3), "base64url": (64, 4, 3)}  # encodings of bytes: base, characters and bytes of a group
+ORDERS = {16: DIGITS + LOWER[:6], 32: UPPER + "234567", 64: UPPER + LOWER + DIGITS + "+/"}  # each base's digits
 #: Fixed value: small letters from the commonest in prose to the rarest.
 USUAL = "etaoinshrdlcumwfgypbvkjxqz"
 EXPECTED = 2_000  # pairs of usual letters that are added to those of the corpus
@@ -100,6 +105,43 @@ def _common(kind: str) -> np.ndarray | None:
     return is_common if COMMON <= {c.lower() for c in ALPHABETS[kind]} else None
 
 
+@lru_cache(None)
+def _seldom(kind: str) -> np.ndarray:
+    """Which symbols are rare letters."""
+    return np.array([c.lower() in RARE for c in ALPHABETS[kind]])
+
+
+@lru_cache(None)
+def _vowels(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which symbols are vowels, and which other letters."""
+    letters = [c.lower() if c.isalpha() else "" for c in ALPHABETS[kind]]
+    return np.array([c != "" and c in VOWELS for c in letters]), np.array([c != "" and c not in VOWELS for c in letters])
+
+
+@lru_cache(None)
+def _printing() -> np.ndarray:
+    """Which bytes print as ASCII, blanks and line ends included."""
+    return np.array([0x20 <= i <= 0x7E or i in (9, 10, 13) for i in range(256)])
+
+
+@lru_cache(None)
+def _values(kind: str) -> np.ndarray:
+    """The value of each symbol as a digit of the encoding's base."""
+    digits = ORDERS[BYTES[kind][0]]
+    return np.array([digits.index({"-": "+", "_": "/"}.get(c, c.lower() if kind == "HEX" else c)) for c in ALPHABETS[kind]])
+
+
+def decoded(v: np.ndarray, kind: str) -> np.ndarray:
+    """The bytes that tokens encode, whole groups only."""
+    base, chars, size = BYTES[kind]
+    whole = v.shape[1] // chars
+    groups = _values(kind)[v[:, : whole * chars]].reshape(len(v), whole, chars)
+    number = np.zeros((len(v), whole), np.int64)
+    for i in range(chars):
+        number = number * base + groups[:, :, i]
+    return np.stack([(number >> (8 * (size - 1 - i))) & 255 for i in range(size)], axis=2).reshape(len(v), -1)
+
+
 def battery(v: np.ndarray, kind: str) -> np.ndarray:
     """p-values of tokens (a row of places in the alphabet each, all of one length): small for tokens that are no uniform draws."""
     m, n = v.shape
@@ -115,6 +157,14 @@ def battery(v: np.ndarray, kind: str) -> np.ndarray:
     ps = [uniform, by_runs, serial]
     if (common := _common(kind)) is not None:
         ps.append(at_least(n, float(common.mean()))[common[v].sum(axis=1)])
+        seldom = _seldom(kind)
+        ps.append(at_least(n, 1 - float(seldom.mean()))[n - seldom[v].sum(axis=1)])
+        vowel, other = _vowels(kind)
+        turns = (vowel[v[:, 1:]] & other[v[:, :-1]]) | (other[v[:, 1:]] & vowel[v[:, :-1]])
+        ps.append(at_least(n - 1, float(2 * vowel.mean() * other.mean()))[turns.sum(axis=1)])
+    if kind in BYTES:
+        prints = _printing()[decoded(v, kind)]
+        ps.append(at_least(prints.shape[1], float(_printing().mean()))[prints.sum(axis=1)])
     least = np.min(np.array(ps, float), axis=0)
     return -np.expm1(len(ps) * np.log1p(-np.minimum(least, 1 - 1e-16)))
 
@@ -167,20 +217,51 @@ def chain(pairs: np.ndarray) -> np.ndarray:
     return table / table.sum(axis=1, keepdims=True)
 
 
+def numbers(n: int, count: int, rnd: np.random.Generator) -> list[np.ndarray]:
+    """Two families of count x n digits: counters, dates and padding, of which half repeat the one before and a quarter follow it; and time stamps, with a fraction of a second,
+    one after another."""
+    steady, at = np.zeros((count, n), np.int64), rnd.integers(0, 10, count)
+    for i in range(n):
+        u = rnd.random(count)
+        at = np.where(u < 0.5, at, np.where(u < 0.75, (at + 1) % 10, rnd.integers(0, 10, count)))
+        steady[:, i] = at
+    limits = ((1990, 2040, 4), (1, 13, 2), (1, 29, 2), (0, 24, 2), (0, 60, 2), (0, 60, 2), (0, 10**6, 6))
+    stamps = []
+    while sum(x.shape[1] for x in stamps) < n:
+        for low, high, width in limits:
+            x = rnd.integers(low, high, count)
+            stamps.append(np.stack([x // 10**i % 10 for i in reversed(range(width))], axis=1))
+    return [steady, np.concatenate(stamps, axis=1)[:, :n]]
+
+
+def foreign(flat: float = 0.31) -> np.ndarray:
+    """Chances of the next letter in languages of other letters than the usual ones: a share `flat` of them any; words end after a fifth of the letters, as consonants and vowels take turns half of the time."""
+    usual = chain(np.zeros(729))[0, 1:]
+    vowel = np.array([c in VOWELS for c in LOWER])
+    some = lambda of: flat * of / of.sum() + (1 - flat) * usual * of / (usual * of).sum()
+    table = np.zeros((27, 27))
+    table[0, 1:] = some(np.ones(26))
+    table[1:, 1:] = 0.8 * (0.5 * np.where(vowel[:, None], some(~vowel), some(vowel)) + 0.5 * some(np.ones(26)))
+    table[1:, 0] = 0.2
+    return table
+
+
+def acronyms(steps: np.ndarray) -> np.ndarray:
+    """Chances of the next letter where each is like a word's first one, half of them any; an end after a quarter of the letters."""
+    first = 0.75 * steps[0] / steps[0].sum() + 0.25 * (np.arange(27) > 0) / 26
+    table = np.tile(0.75 * first, (27, 1))
+    table[0] = first
+    table[1:, 0] = 0.25
+    return table
+
+
 def ordinary(kind: str, n: int, steps: np.ndarray, count: int = MADE_UP, seed: int = 5) -> np.ndarray:
-    """count x n places of made-up ordinary tokens of an encoding: words by the chain of letters, each followed by a number or a mark where the
-    alphabet has them; capitals begin words where it has both cases. Digits alone are counters, dates and padding: half repeat the one before and a quarter follow it."""
+    """count x n places of made-up ordinary tokens of an encoding with letters: words by the chain of letters, each followed by a number or a mark where the
+    alphabet has them; capitals begin words where it has both cases."""
     rnd = np.random.default_rng([seed, n, BY_SIZE.index(kind)])
     place, alphabet = PLACES[kind], ALPHABETS[kind]
     digit = np.array([place[c] for c in alphabet if c in DIGITS])
     out = np.zeros((count, n), np.int64)
-    if kind == "digits":
-        at = rnd.integers(0, 10, count)
-        for i in range(n):
-            u = rnd.random(count)
-            at = np.where(u < 0.5, at, np.where(u < 0.75, (at + 1) % 10, rnd.integers(0, 10, count)))
-            out[:, i] = at
-        return out
     small, large = ([place.get(c, -1) for c in letters] for letters in (LOWER, UPPER))
     known = np.array([False, *(max(a, b) >= 0 for a, b in zip(small, large, strict=True))])
     both = min(small[0], large[0]) >= 0
@@ -213,21 +294,32 @@ def ordinary(kind: str, n: int, steps: np.ndarray, count: int = MADE_UP, seed: i
     return out
 
 
+def families(kind: str, n: int, pairs: np.ndarray) -> list[np.ndarray]:
+    """Made-up ordinary tokens of an encoding, a matrix of places each: at most five, the same number for all encodings."""
+    if kind == "digits":
+        found = numbers(n, MADE_UP, np.random.default_rng([6, n]))
+    else:
+        usual, own = chain(np.zeros(729)), chain(pairs)
+        capitals = (acronyms(usual), acronyms(own)) if kind == "upper" else ()
+        found = [ordinary(kind, n, steps) for steps in (usual, own, foreign(), *capitals)]
+    return [found[i % len(found)] for i in range(FAMILIES)]
+
+
 def calibrated(strata: list[str], pairs: np.ndarray) -> dict[str, tuple[float, ...]]:
-    """Stratum -> median and lower spread of the scores of its ordinary tokens: by usual letters, then by the corpus's letter pairs."""
-    chains, out = (chain(np.zeros(729)), chain(pairs)), {}
+    """Stratum -> median and lower spread of the scores of each family of its ordinary tokens."""
+    out = {}
     for name in strata:
         kind, n, found = name.partition(":")[0], least_length(name), []
-        for steps in chains:
-            low, middle = np.quantile(scores(battery(ordinary(kind, n, steps), kind)), [0.005, 0.5])
+        for made in families(kind, n, pairs):
+            low, middle = np.quantile(scores(battery(made, kind)), [0.005, 0.5])
             found += [float(middle), float(max(middle - low, 0.5) / 2.576)]
         out[name] = tuple(found)
     return out
 
 
 def deviate(score: float, known: tuple[float, ...]) -> float:
-    """How far a score lies below or above those of ordinary tokens, in spreads, for the letters that make it the most ordinary."""
-    return max((score - known[0]) / known[1], (score - known[2]) / known[3])
+    """How far a score lies below or above those of ordinary tokens, in spreads, for the family that makes it the most ordinary."""
+    return max((score - known[i]) / known[i + 1] for i in range(0, len(known), 2))
 
 
 TOKEN_FIELDS = "start: long, end: long, stratum: string, score: double, same: binary"
@@ -302,7 +394,7 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     got = written(scanned(docs), "scans")
     known = known_strata(got)
     of = lambda t, i: F.element_at(F.create_map(*(F.lit(x) for k, v in sorted(known.items()) for x in (k, v[i]))), t["stratum"])
-    z = lambda t: F.greatest(*((t["score"] - of(t, i)) / of(t, i + 1) for i in (0, 2)))
+    z = lambda t: F.greatest(*((t["score"] - of(t, i)) / of(t, i + 1) for i in range(0, 2 * FAMILIES, 2)))
     cut = None
     if known:
         each = got.select(F.explode("tokens").alias("t")).groupBy("t.same").agg(F.first("t").alias("t"))  # a token's stratum and score follow from itself
