@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelspark.functions.columns import clean_null, numeric
+from reelspark.sources.bigjson import CHUNK_BYTES, json_records
 
 # The study fields that are kept, as text.
 STUDY_FIELDS = (
@@ -20,13 +21,17 @@ STUDY_FIELDS = (
 MANIFEST_SCHEMA = "dicom_uuid string, study_uuid string, disk_path string, view string, type string, n_frames double, physical_delta_x double"
 
 
-def read_annotations(spark: SparkSession, path: str, fields: Sequence[str] = STUDY_FIELDS, items: tuple[str, str, str] = ("dicoms", "dicom_uuid", "type"), studies: tuple[str, str] = ("studies", "study_uuid")) -> tuple[DataFrame, DataFrame]:
+def read_annotations(spark: SparkSession, path: str, fields: Sequence[str] = STUDY_FIELDS, items: tuple[str, str, str] = ("dicoms", "dicom_uuid", "type"), studies: tuple[str, str] = ("studies", "study_uuid"), chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(items, studies) of an annotation document: missing fields are null, lists and objects JSON text, the first row of a key wins. S1.
 
-    A document is one JSON value, so one task reads it: split large ones into several files."""
+    A task reads a whole document where none is larger than chunk_bytes; else the records of all are found and parsed by ranges of so many bytes."""
     text = T.MapType(T.StringType(), T.VariantType())
-    schema = T.StructType([T.StructField(items[0], T.ArrayType(text)), T.StructField(studies[0], T.ArrayType(text))])
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    large = not spark.read.format("binaryFile").load(path).select("length").where(F.col("length") > chunk_bytes).isEmpty()
+    if large:
+        records = json_records(spark, path, chunk_bytes).withColumn("m", F.from_json("text", text))
+    else:
+        schema = T.StructType([T.StructField(items[0], T.ArrayType(text)), T.StructField(studies[0], T.ArrayType(text))])
+        doc = spark.read.schema(schema).json(path, multiLine=True)
 
     def value(c: str):
         v = F.col("m")[c]
@@ -34,7 +39,8 @@ def read_annotations(spark: SparkSession, path: str, fields: Sequence[str] = STU
         return plain
 
     def rows(name: str, key: str, cols: dict[str, str]) -> DataFrame:
-        every = doc.select(F.posexplode(name).alias("pos", "m")).select("pos", *(value(c).alias(a) for c, a in cols.items()))
+        own = records.where(F.col("name") == name).select(F.col("place").alias("pos"), "m") if large else doc.select(F.posexplode(name).alias("pos", "m"))
+        every = own.select("pos", *(value(c).alias(a) for c, a in cols.items()))
         first = W.partitionBy(key).orderBy("pos")
         return every.where(F.col(key).isNotNull()).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "pos")
 
