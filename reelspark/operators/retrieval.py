@@ -1,14 +1,14 @@
 """Nearest neighbours and the quality of an embedding space.
 
-Vectors are dealt to B blocks, a row each. Pairs of blocks are multiplied as matrices; a block pair gives back each
-query's best k of the block, or partial sums, and never all its pairs. B grows with the number of rows, so a task holds two blocks of
-BLOCK_ROWS vectors whatever the table's size.
+Vectors are dealt to blocks, a row each, and pairs of blocks are multiplied as matrices by tiles: a tile gives back partial sums, and never all its pairs. The number of pairs is
+quadratic; what is sent, held and given back is not, up to the size that tiles.py states.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,86 +16,141 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import l2_normalize
+from reelspark.operators import tiles
 from reelspark.operators.nearest import knn
 from reelspark.sources.work import written
 
 __all__ = ["knn", "knn_similarity", "pairwise_similarity", "retrieval_at_k", "similarity_histogram", "similarity_rows", "similarity_stats", "similarity_sums", "uniformity", "unit"]
 
 BLOCK_ROWS = 4_000
+LEAST_ROWS = 256  # of a block, where there are fewer blocks than strips
 GATHERED = 100_000
 
 
-def _blocks(df: DataFrame, key: str, col: str) -> tuple[int, DataFrame]:
-    """(number of blocks, (blk, ids, v, dim)): the rows of a block packed into one, whole-number ids and vectors as bytes."""
-    n = max(1, math.ceil(df.count() / BLOCK_ROWS))
-    own = df.select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("blk")).where("v is not null")
+class Blocks(NamedTuple):
+    rows: DataFrame  # (at, ids, v, dim): the rows of a block packed into one, whole-number ids in order and vectors as bytes
+    n: int
+    size: int  # bytes of all vectors
+
+
+def _blocks(df: DataFrame, key: str, col: str) -> Blocks:
+    """Rows without id or vector take no part; equal ids share a block."""
+    own = df.select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v")).where("v is not null and id is not null")
+    rows, dim = own.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n = max(1, math.ceil(rows / BLOCK_ROWS), min(tiles.MOST_STRIPS, math.ceil(rows / LEAST_ROWS)))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
         x = np.stack(part.v.to_numpy()).astype(float)
-        return pd.DataFrame({"blk": part.blk.iloc[:1], "ids": [part.id.to_numpy(np.int64).tobytes()], "v": [x.tobytes()], "dim": [x.shape[1]]})
-
-    return n, written(own.groupBy("blk").applyInPandas(pack, "blk int, ids binary, v binary, dim int"), "blocks")
+        return pd.DataFrame({"at": part["at"].iloc[:1], "ids": [part.id.to_numpy(np.int64).tobytes()], "v": [x.tobytes()], "dim": [x.shape[1]]})
 
+    placed = own.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    return Blocks(written(placed.groupBy("at").applyInPandas(pack, "at int, ids binary, v binary, dim int"), "blocks"), n, rows * dim * 8)
 
-Products = Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
+def _by_tiles(blocks: Blocks, tile: Callable[[], tiles.Tile], schema: str) -> DataFrame:
+    return tiles.all_pairs(blocks.rows, blocks.n, blocks.size, tile, schema)
 
-def _by_block_pairs(df: DataFrame, key: str, col: str, symmetric: bool, f: Products, schema: str) -> DataFrame:
-    """f(q, c, ids of q, ids of c, products) of every pair of blocks, or of q <= c only; a task holds one pair at a time."""
-    n, blocks = _blocks(df, key, col)
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    own = F.col("blk")
-    left = blocks.select(own.alias("q"), F.explode(F.filter(others, lambda c: c >= own) if symmetric else others).alias("c"), F.col("ids").alias("qi"), F.col("v").alias("qv"), "dim")
-    right = blocks.select(F.explode(F.filter(others, lambda q: q <= own) if symmetric else others).alias("q"), own.alias("c"), F.col("ids").alias("ci"), F.col("v").alias("cv"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                x, y = (np.frombuffer(v, float).reshape(-1, r.dim) for v in (r.qv, r.cv))
-                yield f(r.q, r.c, np.frombuffer(r.qi, np.int64), np.frombuffer(r.ci, np.int64), x @ y.T)
+class _Pairs(tiles.Tile):
+    def __init__(self, least: float, upper: bool):
+        self.least, self.upper = least, upper
 
-    return left.join(right, ["q", "c"]).mapInPandas(run, schema)
+    def pair(self, q: tiles.Block, c: tiles.Block) -> Iterator[pd.DataFrame]:
+        for at, s in tiles.slabs(q, c):
+            i, j = np.nonzero(s >= self.least)
+            a, b, sim = q.ids[at + i], c.ids[j], s[i, j]
+            for x, y in ((a, b), (b, a))[: 1 + (q.at != c.at)]:
+                good = x < y if self.upper else x != y
+                yield pd.DataFrame({"a": x[good], "b": y[good], "sim": sim[good]})
 
 
 def pairwise_similarity(df: DataFrame, least: float, upper: bool = False, key: str = "id", col: str = "embedding") -> DataFrame:
     """(a, b, sim) of the pairs of different ids, or of a < b only, with a similarity of `least` or more. J8: for -1 the result is quadratic."""
-
-    def pairs(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero((s >= least) & (qi[:, None] < ci[None, :] if upper else qi[:, None] != ci[None, :]))
-        return pd.DataFrame({"a": qi[i], "b": ci[j], "sim": s[i, j]})
-
-    return _by_block_pairs(df, key, col, False, pairs, "a long, b long, sim double")
+    return _by_tiles(_blocks(df, key, col), lambda: _Pairs(least, upper), "a long, b long, sim double")
+
+
+class _Rows(tiles.Tile):
+    """Number, sum and maximum of each row's similarities to rows of larger ids."""
+
+    def __init__(self):
+        self.found: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def of(self, b: tiles.Block) -> tuple[np.ndarray, ...]:
+        if b.at not in self.found:
+            n = len(b.ids)
+            self.found[b.at] = b.ids, np.zeros(n, np.int64), np.zeros(n), np.full(n, -np.inf)
+        return self.found[b.at][1:]
+
+    def pair(self, q: tiles.Block, c: tiles.Block) -> Iterator[pd.DataFrame]:
+        """Ids are in order: of a slab's columns only those between its ids need a mask; those before have smaller ids than all of its rows, those behind larger ones."""
+        n, total, best = self.of(q)
+        cn, ctotal, cbest = self.of(c)
+        for at, s in tiles.slabs(q, c):
+            rows = slice(at, at + len(s))
+            ids = q.ids[rows]
+            before, behind = np.searchsorted(c.ids, ids[0], "left"), np.searchsorted(c.ids, ids[-1], "right")
+            mid, among = c.ids[before:behind], s[:, before:behind]
+            more = ids[:, None] < mid[None, :]
+            n[rows] += len(c.ids) - behind + more.sum(axis=1)
+            total[rows] += s[:, behind:].sum(axis=1) + np.where(more, among, 0.0).sum(axis=1)
+            best[rows] = np.maximum(best[rows], np.maximum(s[:, behind:].max(axis=1, initial=-np.inf), np.where(more, among, -np.inf).max(axis=1, initial=-np.inf)))
+            if q.at == c.at:
+                continue
+            less = ids[:, None] > mid[None, :]
+            cn[:before] += len(ids)
+            cn[before:behind] += less.sum(axis=0)
+            ctotal[:before] += s[:, :before].sum(axis=0)
+            ctotal[before:behind] += np.where(less, among, 0.0).sum(axis=0)
+            cbest[:before] = np.maximum(cbest[:before], s[:, :before].max(axis=0, initial=-np.inf))
+            cbest[before:behind] = np.maximum(cbest[before:behind], np.where(less, among, -np.inf).max(axis=0, initial=-np.inf))
+        return iter(())
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        for ids, n, total, best in self.found.values():
+            yield pd.DataFrame({"a": ids, "n": n, "total": total, "best": best})[n > 0]
 
 
 def similarity_rows(df: DataFrame, key: str = "id", col: str = "embedding") -> DataFrame:
     """(a, n, total, best): number, sum and maximum of each row's similarities to the rows of larger ids. J8 without its pairs."""
+    parts = _by_tiles(_blocks(df, key, col), _Rows, "a long, n long, total double, best double")
+    return parts.groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
 
-    def sums(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        out = []
-        for ids, m, t in ((qi, qi[:, None] < ci[None, :], s), (ci, ci[:, None] < qi[None, :], s.T))[: 1 + (q != c)]:
-            part = pd.DataFrame({"a": ids, "n": m.sum(axis=1), "total": np.where(m, t, 0.0).sum(axis=1), "best": np.where(m, t, -np.inf).max(axis=1, initial=-np.inf)})
-            out.append(part[part.n > 0])
-        return pd.concat(out)
 
-    parts = _by_block_pairs(df, key, col, True, sums, "a long, n long, total double, best double")
-    return parts.groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+def _upper(q: tiles.Block, c: tiles.Block) -> Iterator[np.ndarray]:
+    """The similarities of each pair of different ids once, some at a time."""
+    for at, s in tiles.slabs(q, c):
+        yield s[q.ids[at : at + len(s), None] < c.ids[None, :]] if q.at == c.at else s.ravel()
 
 
-def _distribution(df: DataFrame, key: str, col: str, bins: int = 0, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
-    """One pass over the pairs a < b: in bin 0 their number, sum, sum of squares, ends, and sum of exp(-2 (2 - 2 sim)); in bins from 1 on the
-    numbers of the similarities in equal bins of [lo, hi], what lies outside in the end bins."""
+class _Distribution(tiles.Tile):
+    def __init__(self, bins: int, lo: float, hi: float, kernel: bool):
+        self.bins, self.lo, self.hi, self.kernel = bins, lo, hi, kernel
+        self.n, self.s, self.ss, self.least, self.most, self.u, self.counts = 0, 0.0, 0.0, np.inf, -np.inf, 0.0, np.zeros(bins, np.int64)
 
-    def part(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        s = s[qi[:, None] < ci[None, :]] if q == c else s.ravel()
-        out = pd.DataFrame({"bin": [0], "n": [len(s)], "s": [s.sum()], "ss": [(s * s).sum()], "lo": [s.min(initial=np.inf)], "hi": [s.max(initial=-np.inf)], "u": [np.exp(-2 * (2 - 2 * s)).sum()]})
-        if not bins:
-            return out
-        n = np.bincount(_bin(s, lo, hi, bins), minlength=bins)
-        at = np.flatnonzero(n)
-        return pd.concat([out, pd.DataFrame({"bin": at + 1, "n": n[at], "s": 0.0, "ss": 0.0, "lo": 0.0, "hi": 0.0, "u": 0.0})])
+    def pair(self, q: tiles.Block, c: tiles.Block) -> Iterator[pd.DataFrame]:
+        for s in _upper(q, c):
+            self.n, self.s, self.ss = self.n + len(s), self.s + float(s.sum()), self.ss + float(s @ s)
+            self.least, self.most = min(self.least, s.min(initial=np.inf)), max(self.most, s.max(initial=-np.inf))
+            if self.kernel:
+                t = np.multiply(s, 4.0)
+                t -= 4.0
+                self.u += float(np.exp(t, out=t).sum())
+            if self.bins:
+                self.counts += np.bincount(_bin(s, self.lo, self.hi, self.bins), minlength=self.bins)
+        return iter(())
 
-    parts = _by_block_pairs(df, key, col, True, part, "bin int, n long, s double, ss double, lo double, hi double, u double")
-    return parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("u").alias("usum"))
+    def end(self) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"bin": [0], "n": [self.n], "s": [self.s], "ss": [self.ss], "lo": [self.least], "hi": [self.most], "u": [self.u]})
+        at = np.flatnonzero(self.counts)
+        yield pd.DataFrame({"bin": at + 1, "n": self.counts[at], "s": 0.0, "ss": 0.0, "lo": 0.0, "hi": 0.0, "u": 0.0})
+
+
+def _distribution(blocks: Blocks, bins: int = 0, lo: float = -1.0, hi: float = 1.0, kernel: bool = False) -> DataFrame:
+    """One pass over the pairs a < b: in bin 0 their number, sum, sum of squares, ends, and, if `kernel`, the sum of exp(-2 (2 - 2 sim)); in bins from 1 on the
+    numbers of the similarities in equal bins of [lo, hi], what lies outside in the end bins."""
+    parts = _by_tiles(blocks, lambda: _Distribution(bins, lo, hi, kernel), "bin long, n long, s double, ss double, lo double, hi double, u double")
+    return parts.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("u").alias("usum"))
 
 
 def _sums(distribution: DataFrame) -> DataFrame:
@@ -105,19 +160,56 @@ def _sums(distribution: DataFrame) -> DataFrame:
 
 def similarity_sums(df: DataFrame, key: str = "id", col: str = "embedding") -> DataFrame:
     """One row over pairs a < b: n, mean, std (sample), min, max, and usum, the sum of exp(-2 (2 - 2 sim))."""
-    return _sums(_distribution(df, key, col))
+    return _sums(_distribution(_blocks(df, key, col), kernel=True))
 
 
 def similarity_histogram(df: DataFrame, bins: int, lo: float, hi: float, key: str = "id", col: str = "embedding") -> DataFrame:
     """(bin from 1, n) of the similarities of pairs a < b over equal bins of [lo, hi]; what lies outside counts in the end bins."""
-    return _distribution(df, key, col, bins, lo, hi).where("bin > 0").select("bin", "n")
+    return _distribution(_blocks(df, key, col), bins, lo, hi).where("bin > 0").select("bin", "n")
 
 
 def _bin(s: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
-    return np.clip(np.floor((s - lo) / (hi - lo) * bins), 0, bins - 1).astype(int)
+    t = s - lo
+    t *= bins / (hi - lo)
+    np.maximum(t, 0.0, out=t)
+    np.minimum(t, bins - 1.0, out=t)
+    return t.astype(np.int64)
+
+
+class _Bracket(tiles.Tile):
+    """Counts of the similarities in the last of nested brackets (lo, hi, bins, bin of the next one): by bins, or if `last`, by value."""
+
+    def __init__(self, path: list[tuple[float, float, int, int]], lo: float, hi: float, bins: int, last: bool):
+        self.path, self.lo, self.hi, self.bins, self.last = path, lo, hi, bins, last
+        self.counts, self.values = np.zeros(bins, np.int64), []
+        # most values are far outside; those of the brackets' end bins have no end
+        self.least = max((a + i * (b - a) / m for a, b, m, i in path if i > 0), default=-np.inf) - 1e-9
+        self.most = min((a + (i + 1) * (b - a) / m for a, b, m, i in path if i < m - 1), default=np.inf) + 1e-9
+
+    def pair(self, q: tiles.Block, c: tiles.Block) -> Iterator[pd.DataFrame]:
+        for s in _upper(q, c):
+            s = s[(s >= self.least) & (s <= self.most)]
+            for bracket in self.path:
+                s = s[_bin(s, *bracket[:3]) == bracket[3]]
+            if self.last:
+                self.values.append(np.unique(s, return_counts=True))
+            else:
+                self.counts += np.bincount(_bin(s, self.lo, self.hi, self.bins), minlength=self.bins)
+            if len(self.values) >= 1_000:
+                self.values = [self.merged()]
+        return iter(())
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        value, at = np.unique(np.concatenate([v for v, _ in self.values] or [np.zeros(0)]), return_inverse=True)
+        return value, np.bincount(at, np.concatenate([n for _, n in self.values] or [np.zeros(0)]), len(value)).astype(np.int64)
 
+    def end(self) -> Iterator[pd.DataFrame]:
+        at = np.flatnonzero(self.counts)
+        value, n = self.merged() if self.last else (at + 1.0, self.counts[at])
+        yield pd.DataFrame({"value": value, "n": n})
 
-def _order_statistic(df: DataFrame, key: str, col: str, rank: int, histogram: list, lo: float, hi: float, bins: int) -> DataFrame:
+
+def _order_statistic(blocks: Blocks, rank: int, histogram: list, lo: float, hi: float, bins: int) -> DataFrame:
     """One row (value): the rank-th least similarity of pairs a < b, given their histogram, rows (bin from 1, n), over [lo, hi].
 
     The bin that holds it is divided again, until at most GATHERED values or a width of rounding errors are left; those are counted one by one. A pass takes values by their bins in the
@@ -134,15 +226,8 @@ def _order_statistic(df: DataFrame, key: str, col: str, rank: int, histogram: li
         path.append((lo, hi, bins, b - 1))
         lo, hi = lo + (b - 1) * width, lo + b * width
         last = n <= GATHERED or width < 1e-12
-
-        def part(q: int, c: int, qi: np.ndarray, ci: np.ndarray, s: np.ndarray, path=tuple(path), lo=lo, hi=hi, last=last) -> pd.DataFrame:
-            s = s[qi[:, None] < ci[None, :]] if q == c else s.ravel()
-            for bracket in path:
-                s = s[_bin(s, *bracket[:3]) == bracket[3]]
-            at, n = np.unique(s if last else _bin(s, lo, hi, bins) + 1.0, return_counts=True)
-            return pd.DataFrame({"value": at, "n": n})
-
-        counted = _by_block_pairs(df, key, col, True, part, "value double, n long").groupBy("value").agg(F.sum("n").alias("n"))
+        tile = lambda path=tuple(path), lo=lo, hi=hi, last=last: _Bracket(path, lo, hi, bins, last)
+        counted = _by_tiles(blocks, tile, "value double, n long").groupBy("value").agg(F.sum("n").alias("n"))
         if last:
             upto = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0))  # GATHERED values, or the few doubles of a width of 1e-12
             return counted.withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min("value").alias("value"))
@@ -151,12 +236,13 @@ def _order_statistic(df: DataFrame, key: str, col: str, rank: int, histogram: li
 
 def similarity_stats(df: DataFrame, key: str = "id", col: str = "embedding", bins: int = 20_000) -> DataFrame:
     """mean, sample std, min, max and lower median of the similarities of distinct pairs of unit vectors. A19."""
-    both = written(_distribution(df, key, col, bins), "similarities")  # at most bins + 1 rows
+    blocks = _blocks(df, key, col)
+    both = written(_distribution(blocks, bins), "similarities")  # at most bins + 1 rows
     histogram = [(r.bin, r.n) for r in both.where("bin > 0").select("bin", "n").collect()]
     pairs = sum(n for _, n in histogram)
     if not pairs:
         return _sums(both).select("mean", "std", "min", "max", F.lit(None).cast("double").alias("median"))
-    median = _order_statistic(df, key, col, (pairs + 1) // 2, histogram, -1.0, 1.0, bins)
+    median = _order_statistic(blocks, (pairs + 1) // 2, histogram, -1.0, 1.0, bins)
     return _sums(both).select("mean", "std", "min", "max").crossJoin(F.broadcast(median.withColumnRenamed("value", "median")))
 
 

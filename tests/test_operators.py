@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import l2_normalize, softmax
-from reelspark.operators import joins, labels, metrics, ranks, retrieval, splits
+from reelspark.operators import joins, labels, metrics, ranks, retrieval, splits, tiles
 from reelspark.plans import frames
 
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -175,3 +175,22 @@ def test_lower_median(spark, monkeypatch, n, copies, gathered):
     got = retrieval.similarity_stats(df, bins=4).first()
     assert math.isclose(got.median, want[(len(want) - 1) // 2], abs_tol=1e-12) and math.isclose(got.max, want[-1], abs_tol=1e-12)
     assert retrieval.similarity_stats(df.limit(0)).count() <= 1
+
+
+def _vectors(n: int, dim: int = 3) -> list[tuple[int, list[float]]]:
+    rnd = random.Random(n)
+    vs = [[rnd.gauss(0, 1) for _ in range(dim)] for _ in range(n)]
+    return [(i * 7 % 1009, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in enumerate(vs)]
+
+
+def test_blocks_are_sent_in_proportion(spark, monkeypatch):
+    """Each block goes to as many tiles as there are strips, a fixed number; a table four times as large is sent four times, not sixteen."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(tiles, "MOST_STRIPS", 4)
+    sent, run = [], tiles.run
+    monkeypatch.setattr(tiles, "run", lambda dealt, *a: (sent.append(dealt.count()), run(dealt, *a))[1])
+    for n in (100, 400):
+        df = spark.createDataFrame(_vectors(n), "id long, embedding array<double>")
+        assert retrieval.similarity_stats(df, bins=50).count() == 1
+        assert sent.pop() <= 4 * n / 4 and sent.pop() <= 4 * n / 4
+        sent.clear()
