@@ -194,3 +194,15 @@ def test_blocks_are_sent_in_proportion(spark, monkeypatch):
         assert retrieval.similarity_stats(df, bins=50).count() == 1
         assert sent.pop() <= 4 * n / 4 and sent.pop() <= 4 * n / 4
         sent.clear()
+
+
+def test_uniformity_over_tiles(spark, monkeypatch):
+    """As by all pairs; a worker gets blocks one by one and not the pairs of a partition."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    rows = _vectors(150)
+    s = [sum(x * y for x, y in zip(v, w, strict=True)) for i, (_, v) in enumerate(rows) for _, w in rows[:i]]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    sent, run = [], tiles.run
+    monkeypatch.setattr(tiles, "run", lambda dealt, *a: (sent.append(dealt), run(dealt, *a))[1])
+    assert math.isclose(retrieval.uniformity(df).first()[0], math.log((2 * sum(math.exp(4 * x - 4) for x in s) + 150 * math.exp(-8)) / 150**2), abs_tol=1e-9)
+    assert max(len(r.v) for r in sent[0].select("v").collect()) <= 40 * 3 * 8
