@@ -196,6 +196,21 @@ def test_blocks_are_sent_in_proportion(spark, monkeypatch):
         sent.clear()
 
 
+def test_row_similarities_over_tiles(spark, monkeypatch):
+    """Sums over rows of larger ids, whatever block and tile they are in; equal ids aren't paired, and rows without id or vector take no part."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(tiles, "SLAB", 5)
+    rows = [*_vectors(150), (7, [1.0, 0.0, 0.0])]
+    want = {}
+    for a, v in rows:
+        for b, w in rows:
+            if a < b:
+                want.setdefault(a, []).append(sum(x * y for x, y in zip(v, w, strict=True)))
+    df = spark.createDataFrame([*rows, (None, [1.0, 0.0, 0.0]), (3000, None)], "id long, embedding array<double>")
+    got = {r.a: r for r in retrieval.similarity_rows(df).collect()}
+    assert got.keys() == want.keys() and all(got[a].n == len(x) and math.isclose(got[a].total, sum(x), abs_tol=1e-9) and math.isclose(got[a].best, max(x), abs_tol=1e-12) for a, x in want.items())
+
+
 def test_uniformity_over_tiles(spark, monkeypatch):
     """As by all pairs; a worker gets blocks one by one and not the pairs of a partition."""
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
