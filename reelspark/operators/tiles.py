@@ -60,39 +60,38 @@ def number(low: Column, high: Column, strips: int) -> Column:
     return (low * strips - F.floor(low * (low - 1) / 2) + high - low).cast("int")
 
 
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {name: col[i].as_py() for name, col in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    return (pa.RecordBatch.from_pandas(frame, preserve_index=False) for frame in frames if len(frame))
+
+
 def run(dealt: DataFrame, strips: int, tile: Callable[[], Tile], schema: str) -> DataFrame:
     """Rows that tiles make of dealt: blocks with tile, side (0: held, 1: passes by), within (whether the held ones are also paired among themselves) and partners
     (the held blocks that it is paired with; null for all). Only strips of different numbers have rows of side 1."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = None
+    def made(sent: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         now, own, held = None, None, {}
-
-        def frames() -> Iterator[pd.DataFrame]:
-            nonlocal now, own, held
-            for batch in batches:
-                for i in range(len(batch)):
-                    row = {name: col[i].as_py() for name, col in zip(batch.schema.names, batch.columns, strict=True)}
-                    if row["tile"] != now:
-                        if own:
-                            yield from own.end()
-                        now, own, held = row["tile"], tile(), {}
-                    b = Block(row)
-                    if row["side"] == 0:
-                        held[b.at] = b
-                    if row["side"] == 1 or row["within"]:
-                        for at in held if row["partners"] is None else row["partners"]:
-                            yield from own.pair(held[at], b)
-            if own:
-                yield from own.end()
-
-        for frame in frames():
-            if len(frame):
-                fields = fields or pa.Schema.from_pandas(frame, preserve_index=False)
-                yield pa.RecordBatch.from_pandas(frame, schema=fields, preserve_index=False)
+        for row in rows(sent):
+            if row["tile"] != now:
+                if own:
+                    yield from own.end()
+                now, own, held = row["tile"], tile(), {}
+            b = Block(row)
+            if row["side"] == 0:
+                held[b.at] = b
+            if row["side"] == 1 or row["within"]:
+                for at in held if row["partners"] is None else row["partners"]:
+                    yield from own.pair(held[at], b)
+        if own:
+            yield from own.end()
 
     n = strips * (strips + 1) // 2
-    return dealt.repartitionById(n, "tile").sortWithinPartitions("tile", "side", "at").mapInArrow(work, schema)
+    return dealt.repartitionById(n, "tile").sortWithinPartitions("tile", "side", "at").mapInArrow(lambda sent: batches(made(sent)), schema)
 
 
 def all_pairs(blocks: DataFrame, n: int, size: int, tile: Callable[[], Tile], schema: str) -> DataFrame:
