@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -82,28 +81,27 @@ class _Counters(StatefulProcessor):
         self.handle = handle
         self.counts = handle.getValueState("counts", "logged long, processed long, skipped long, errors long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values(["ts", "id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         logged, processed, skipped, errors, timer = self.counts.get() or (0, 0, 0, 0, 0)
-        out = []
-        for status in part.status:
+        last = timer
+        for us, _, status in sorted(((r.us, r.id, r.status) for r in rows), key=lambda r: [(x is None, x or 0) for x in r[:2]]):  # nulls last
             logged += 1
             processed, skipped, errors = processed + (status == "processed"), skipped + (status == "skipped"), errors + (status == "error")
+            last = last if us is None else max(last, us // 1000 + self.idle_ms)
             if status == "processed" and processed % self.every == 0:
-                out.append((key[0], "counter", logged, processed, skipped, errors))
+                yield Row(worker=key[0], kind="counter", logged=logged, processed=processed, skipped=skipped, errors=errors)
             if logged % self.flush == 0:
-                out.append((key[0], "flush", logged, processed, skipped, errors))
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = max(timer, int(part.ts.max().timestamp() * 1000) + self.idle_ms)
-        self.handle.registerTimer(timer)
-        self.counts.update((logged, processed, skipped, errors, timer))
-        yield pd.DataFrame(out, columns=["worker", "kind", "logged", "processed", "skipped", "errors"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                yield Row(worker=key[0], kind="flush", logged=logged, processed=processed, skipped=skipped, errors=errors)
+        if last != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last)
+        self.counts.update((logged, processed, skipped, errors, last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         logged, processed, skipped, errors, _ = self.counts.get()
         self.counts.update((logged, processed, skipped, errors, 0))
-        yield pd.DataFrame([(key[0], "idle", logged, processed, skipped, errors)], columns=["worker", "kind", "logged", "processed", "skipped", "errors"])
+        yield Row(worker=key[0], kind="idle", logged=logged, processed=processed, skipped=skipped, errors=errors)
 
 
 def progress_counters(df: DataFrame, every: int = 100, flush: int = 50, idle: timedelta = timedelta(hours=1), delay: str = "1 minute") -> DataFrame:
@@ -111,9 +109,9 @@ def progress_counters(df: DataFrame, every: int = 100, flush: int = 50, idle: ti
     the watermark is `idle` past its last row. T5. Rows of a batch count in the order of ts and id.
 
     State is five numbers a worker; a stream is keyed by worker, so no task counts all. The session needs the RocksDB state store (with_rocksdb)."""
-    rows = df.select("worker", "ts", "id", "status").withWatermark("ts", delay)
+    rows = df.select("worker", "ts", F.unix_micros("ts").alias("us"), "id", "status").withWatermark("ts", delay)
     schema = f"worker {df.schema['worker'].dataType.simpleString()}, kind string, logged long, processed long, skipped long, errors long"
-    return rows.groupBy("worker").transformWithStateInPandas(_Counters(every, flush, int(idle.total_seconds() * 1000)), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    return rows.groupBy("worker").transformWithState(_Counters(every, flush, int(idle.total_seconds() * 1000)), outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 def with_rocksdb(spark: SparkSession) -> None:

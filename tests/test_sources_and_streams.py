@@ -250,3 +250,20 @@ def test_counters_go_on_after_a_restart(spark, tmp_path):
         want.append((row[0], "idle", *row[1:]))
     got = [tuple(r) for r in spark.read.parquet(out).where("worker <> 'end'").collect()]
     assert sorted(got) == sorted(want) and len(want) > 40
+
+
+def test_counters_take_rows():
+    """A worker's rows are counted as rows: no frame is built for a worker. A row without a time comes last and sets no timer."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+    from reelspark.streaming import jobs
+
+    kept, timers = [], []
+    counters = jobs._Counters(2, 3, 1000)
+    counters.counts = SimpleNamespace(get=lambda: kept[-1] if kept else None, update=kept.append)
+    counters.handle = SimpleNamespace(registerTimer=timers.append, deleteTimer=timers.remove)
+    rows = [Row(us=us, id=i, status=s) for us, i, s in ((None, 1, "processed"), (5_000, 3, "error"), (5_000, 2, "processed"), (9_000, 4, "skipped"))]
+    assert [tuple(r) for r in counters.handleInputRows((7,), iter(rows), None)] == [(7, "flush", 3, 1, 1, 1), (7, "counter", 4, 2, 1, 1)]
+    assert kept[-1] == (4, 2, 1, 1, 1009) and timers == [1009]
+    assert [tuple(r) for r in counters.handleInputRows((7,), iter([Row(us=None, id=5, status="error")]), None)] == [] and timers == [1009]
