@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,12 @@ class Block:
         self.row, self.at = row, row["at"]
         self.ids, self.v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["v"], float).reshape(-1, row["dim"])
 
+    @cached_property
+    def single(self) -> tuple[np.ndarray, float]:
+        """The vectors as single floats in proportion to the largest length, and that length."""
+        length = float(np.linalg.norm(self.v, axis=1).max(initial=0.0))
+        return (self.v / (length or 1.0)).astype(np.float32), length
+
 
 class Tile:
     """What a task makes of the pairs of one tile. Each pair of blocks comes once, in either order, a block with itself too."""
