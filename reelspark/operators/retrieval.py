@@ -123,6 +123,22 @@ def _upper(q: tiles.Block, c: tiles.Block) -> Iterator[np.ndarray]:
         yield s[q.ids[at : at + len(s), None] < c.ids[None, :]] if q.at == c.at else s.ravel()
 
 
+class _Kernel(tiles.Tile):
+    """The sum of exp(4 sim)."""
+
+    def __init__(self):
+        self.u = 0.0
+
+    def pair(self, q: tiles.Block, c: tiles.Block) -> Iterator[pd.DataFrame]:
+        for s in _upper(q, c):
+            s *= 4.0
+            self.u += float(np.exp(s, out=s).sum())
+        return iter(())
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"u": [self.u]})
+
+
 class _Distribution(tiles.Tile):
     def __init__(self, bins: int, lo: float, hi: float, kernel: bool):
         self.bins, self.lo, self.hi, self.kernel = bins, lo, hi, kernel
@@ -249,9 +265,10 @@ def similarity_stats(df: DataFrame, key: str = "id", col: str = "embedding", bin
 def uniformity(df: DataFrame, key: str = "id", col: str = "embedding", diagonal: bool = True) -> DataFrame:
     """log of the mean of exp(-2 (2 - 2 sim)) over all ordered pairs; with the diagonal, whose n entries count at sim = -1. A22."""
     n = df.agg(F.count("*").alias("rows"))
-    t = similarity_sums(df, key, col).crossJoin(F.broadcast(n))
+    sums = _by_tiles(_blocks(df, key, col), _Kernel, "u double").agg(F.sum("u").alias("u"))
+    t = sums.crossJoin(F.broadcast(n))
     rows = F.col("rows")
-    whole = (2 * F.col("usum") + (rows * math.exp(-8.0) if diagonal else 0.0)) / (rows * rows if diagonal else rows * (rows - 1))
+    whole = (2 * math.exp(-4.0) * F.col("u") + (rows * math.exp(-8.0) if diagonal else 0.0)) / (rows * rows if diagonal else rows * (rows - 1))
     return t.select(F.log(whole).alias("uniformity"))
 
 

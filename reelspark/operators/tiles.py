@@ -46,10 +46,11 @@ class Tile:
 
 
 def slabs(q: Block, c: Block) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row of q, products with c) of SLAB rows at a time: the same shapes in each pass, and so the same roundings."""
-    turned = c.v.T
+    """(first row of q, products with c) of SLAB rows at a time, in one buffer: the same shapes in each pass, and so the same roundings."""
+    turned, out = c.v.T, np.empty((min(SLAB, len(q.ids)), len(c.ids)))
     for i in range(0, len(q.ids), SLAB):
-        yield i, q.v[i : i + SLAB] @ turned
+        part = q.v[i : i + SLAB]
+        yield i, np.matmul(part, turned, out=out[: len(part)])
 
 
 def number_of_strips(blocks: int, size: int) -> int:

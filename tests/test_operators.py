@@ -2,7 +2,9 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -221,3 +223,21 @@ def test_uniformity_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(tiles, "run", lambda dealt, *a: (sent.append(dealt), run(dealt, *a))[1])
     assert math.isclose(retrieval.uniformity(df).first()[0], math.log((2 * sum(math.exp(4 * x - 4) for x in s) + 150 * math.exp(-8)) / 150**2), abs_tol=1e-9)
     assert max(len(r.v) for r in sent[0].select("v").collect()) <= 40 * 3 * 8
+
+
+def _peak(tile, n=1500):
+    """Bytes that a tile takes at most for the pair of two blocks of n rows, in slabs of products."""
+    rnd = np.random.default_rng(3)
+    q, c = (tiles.Block({"at": i, "ids": np.arange(i, 2 * n, 2).tobytes(), "v": rnd.normal(size=(n, 8)).tobytes(), "dim": 8}) for i in range(2))
+    tracemalloc.start()
+    try:
+        assert not list(tile.pair(q, c))
+        return tracemalloc.get_traced_memory()[1] / (tiles.SLAB * n * 8)
+    finally:
+        tracemalloc.stop()
+
+
+def test_kernel_holds_one_slab(spark):
+    """The kernel is made where the products lie; without rows there is a null, as by SQL."""
+    assert _peak(retrieval._Kernel()) < 1.2
+    assert [r[0] for r in retrieval.uniformity(spark.createDataFrame([], "id long, embedding array<double>")).collect()] == [None]
