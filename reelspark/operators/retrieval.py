@@ -82,28 +82,31 @@ class _Rows(tiles.Tile):
             self.found[b.at] = b.ids, np.zeros(n, np.int64), np.zeros(n), np.full(n, -np.inf)
         return self.found[b.at][1:]
 
+    def add(self, q: tiles.Block, c: tiles.Block) -> None:
+        """Numbers and sums of q's rows over c, of which only each row's place among c's ids is needed: the sum of its products is its product with the sum of the vectors behind."""
+        n, total, _ = self.of(q)
+        place = np.searchsorted(c.ids, q.ids, "right")
+        n += len(c.ids) - place
+        total += np.einsum("ij,ij->i", q.v, c.behind[place])
+
     def pair(self, q: tiles.Block, c: tiles.Block) -> Iterator[pd.DataFrame]:
         """Ids are in order: of a slab's columns only those between its ids need a mask; those before have smaller ids than all of its rows, those behind larger ones."""
-        n, total, best = self.of(q)
-        cn, ctotal, cbest = self.of(c)
+        self.add(q, c)
+        if q.at != c.at:
+            self.add(c, q)
+        best, cbest = self.of(q)[2], self.of(c)[2]
         for at, s in tiles.slabs(q, c):
             rows = slice(at, at + len(s))
             ids = q.ids[rows]
             before, behind = np.searchsorted(c.ids, ids[0], "left"), np.searchsorted(c.ids, ids[-1], "right")
             mid, among = c.ids[before:behind], s[:, before:behind]
-            more = ids[:, None] < mid[None, :]
-            n[rows] += len(c.ids) - behind + more.sum(axis=1)
-            total[rows] += s[:, behind:].sum(axis=1) + np.where(more, among, 0.0).sum(axis=1)
-            best[rows] = np.maximum(best[rows], np.maximum(s[:, behind:].max(axis=1, initial=-np.inf), np.where(more, among, -np.inf).max(axis=1, initial=-np.inf)))
+            more = np.where(ids[:, None] < mid[None, :], among, -np.inf).max(axis=1, initial=-np.inf)
+            best[rows] = np.maximum(best[rows], np.maximum(s[:, behind:].max(axis=1, initial=-np.inf), more))
             if q.at == c.at:
                 continue
-            less = ids[:, None] > mid[None, :]
-            cn[:before] += len(ids)
-            cn[before:behind] += less.sum(axis=0)
-            ctotal[:before] += s[:, :before].sum(axis=0)
-            ctotal[before:behind] += np.where(less, among, 0.0).sum(axis=0)
+            less = np.where(ids[:, None] > mid[None, :], among, -np.inf).max(axis=0, initial=-np.inf)
             cbest[:before] = np.maximum(cbest[:before], s[:, :before].max(axis=0, initial=-np.inf))
-            cbest[before:behind] = np.maximum(cbest[before:behind], np.where(less, among, -np.inf).max(axis=0, initial=-np.inf))
+            cbest[before:behind] = np.maximum(cbest[before:behind], less)
         return iter(())
 
     def end(self) -> Iterator[pd.DataFrame]:

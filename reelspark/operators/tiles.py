@@ -34,6 +34,13 @@ class Block:
         length = float(np.linalg.norm(self.v, axis=1).max(initial=0.0))
         return (self.v / (length or 1.0)).astype(np.float32), length
 
+    @cached_property
+    def behind(self) -> np.ndarray:
+        """The sums of the vectors from each place on, and zeros for the end."""
+        sums = np.zeros((len(self.ids) + 1, self.v.shape[1]))
+        np.cumsum(self.v[::-1], axis=0, out=sums[-2::-1])
+        return sums
+
 
 class Tile:
     """What a task makes of the pairs of one tile. Each pair of blocks comes once, in either order, a block with itself too."""
