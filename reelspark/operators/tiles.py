@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_STRIPS = 16
+LEAST_STRIPS = 8  # 36 tiles, for some dozen cores
+TILE_PRODUCTS = 250_000_000  # about a second's, several times what a task costs itself
 STRIP_BYTES = 32 << 20
 SLAB = 64  # products that fit a core's cache
 
@@ -60,9 +62,10 @@ def slabs(q: Block, c: Block) -> Iterator[tuple[int, np.ndarray]]:
         yield i, np.matmul(part, turned, out=out[: len(part)])
 
 
-def number_of_strips(blocks: int, size: int) -> int:
-    """For blocks of `size` bytes together."""
-    return max(1, min(blocks, MOST_STRIPS), math.ceil(size / STRIP_BYTES))
+def number_of_strips(blocks: int, size: int, products: float = math.inf) -> int:
+    """For blocks of `size` bytes together. For a known number of products of their rows fewer, if tiles would have under TILE_PRODUCTS, but LEAST_STRIPS."""
+    most = min(MOST_STRIPS, max(LEAST_STRIPS, math.ceil(math.sqrt(2 * min(products, MOST_STRIPS**2 * TILE_PRODUCTS) / TILE_PRODUCTS))))
+    return max(1, min(blocks, most), math.ceil(size / STRIP_BYTES))
 
 
 def strip(at: Column, blocks: int, strips: int) -> Column:
